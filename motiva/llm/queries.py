@@ -8,7 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .common import table
+from .mixing import mix_sources, mixing_sql
 from .ngram_jaccard import ngram_jaccard_join
+from .packing import pack
+from .quality import good_documents
+from .secrets import find_secrets
+
+WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
+BUDGET = 0.9
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(ship(spark), sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(ship(spark), sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return good_documents(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(ship(spark), sf_dir, "documents"), WEIGHTS, budget_share=BUDGET)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,17 +39,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op4_quality_classifier, op7_source_mixing, op8_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_source_mixing": mixing_sql(WEIGHTS, BUDGET, 7, 1.0),
         "op8_ngram_jaccard_join": r"""
             WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10ffff}]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
             s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END)) AS grams FROM w WHERE len(words) > 0),
             g AS (SELECT min(doc_id) AS rep, list_distinct(list(doc_id)) AS ids, grams FROM s GROUP BY grams),
             e AS (SELECT rep, len(grams) AS n, unnest(grams) AS gram FROM g),
-            p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS both FROM e a JOIN e b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL)
-            SELECT a AS doc_a, b AS doc_b, both::DOUBLE / (na + nb - both) AS jaccard FROM p WHERE both::DOUBLE / (na + nb - both) >= 0.5
+            p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.rep < b.rep GROUP BY ALL)
+            SELECT a AS doc_a, b AS doc_b, c::DOUBLE / (na + nb - c) AS jaccard FROM p WHERE c::DOUBLE / (na + nb - c) >= 0.5
             UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM (SELECT rep, unnest(ids) AS doc_id FROM g) WHERE rep <> doc_id""",
     }
