@@ -141,6 +141,12 @@ def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return g, d
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats; sorting beats the hash table that numpy takes for this."""
+    v = np.sort(values)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
+
+
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
     """A binary array whose i-th entry holds the next ``counts[i]`` of ``values``."""
     off = np.zeros(len(counts) + 1, dtype=np.int64)
