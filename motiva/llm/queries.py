@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 from .common import table
+from .lm import lm_scores
 from .mixing import mix_sources, mixing_sql
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
@@ -27,6 +28,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(ship(spark), sf_dir, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(ship(spark), sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good_documents(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +49,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op4_quality_classifier, op7_source_mixing, op8_ngram_jaccard_join, op10_binary_records)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_lm_scores, op4_quality_classifier, op7_source_mixing, op8_ngram_jaccard_join, op10_binary_records)}
 
 
 def oracle_sql() -> dict[str, str]:
