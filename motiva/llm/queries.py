@@ -15,6 +15,7 @@ from .packing import pack
 from .quality import good_documents
 from .records import write_records
 from .secrets import find_secrets
+from .substrings import shared_passages
 
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 BUDGET = 0.9
@@ -44,12 +45,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(ship(spark), sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(ship(spark), sf_dir, "documents"))
+
+
 def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_records(table(ship(spark), sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_lm_scores, op4_quality_classifier, op7_source_mixing, op8_ngram_jaccard_join, op10_binary_records)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_lm_scores, op4_quality_classifier, op7_source_mixing, op8_ngram_jaccard_join, op9_substring_dedup, op10_binary_records)}
 
 
 def oracle_sql() -> dict[str, str]:
