@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 from .common import table
 from .lm import lm_scores
+from .media import media_sequences
 from .mixing import mix_sources, mixing_sql
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
@@ -16,6 +17,7 @@ from .quality import good_documents
 from .records import write_records
 from .secrets import find_secrets
 from .substrings import shared_passages
+from .vectors import nearest_neighbours
 
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 BUDGET = 0.9
@@ -37,6 +39,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good_documents(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_sequences(table(ship(spark), sf_dir, "pages"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(ship(spark), sf_dir, "embeddings"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(ship(spark), sf_dir, "documents"), WEIGHTS, budget_share=BUDGET)
 
@@ -54,7 +64,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_lm_scores, op4_quality_classifier, op7_source_mixing, op8_ngram_jaccard_join, op9_substring_dedup, op10_binary_records)}
+    return {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_lm_scores, op4_quality_classifier, op5_media_sequences, op6_nearest_neighbours, op7_source_mixing, op8_ngram_jaccard_join, op9_substring_dedup, op10_binary_records)}
 
 
 def oracle_sql() -> dict[str, str]:
