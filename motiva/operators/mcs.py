@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph, LocalGraph, UnsupportedConfiguration
-from ..session import ship
+from ..session import cut, ship
 from .clique import cliques, max_clique
 
 
@@ -30,12 +30,13 @@ def association(f: Graph, s: Graph) -> Graph:
     pairs = a.join(b.withColumnRenamed("label", "l2").withColumnRenamed("loop", "loop2"), (F.col("label") == F.col("l2")) & F.col("loop").eqNullSafe(F.col("loop2")))
     pairs = pairs.select("f", "s", F.concat_ws(":", "f", "s").alias("name"))
     # Ids are ranks of (f, s), so that they are the same in every evaluation; there are as many as the search can take.
-    ranks = pairs.agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all")).select(F.posexplode("all").alias("id", "p")).select(F.col("id").cast("long").alias("id"), "p.f", "p.s")
+    ranks = cut(pairs.agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all")).select(F.posexplode("all").alias("id", "p")).select(F.col("id").cast("long").alias("id"), "p.f", "p.s"))
     x, y = ranks.toDF("x", "fx", "sx"), ranks.toDF("y", "fy", "sy")
     both = x.join(y, (F.col("fx") != F.col("fy")) & (F.col("sx") != F.col("sy")))
     for g, u, v, name in ((f, "fx", "fy", "e1"), (s, "sx", "sy", "e2"), (f, "fy", "fx", "e3"), (s, "sy", "sx", "e4")):
         both = both.join(g.edges.select(F.col("src").alias(u), F.col("dst").alias(v), F.col("label").alias(name)), [u, v], "left")
     edges = both.where(F.col("e1").eqNullSafe(F.col("e2")) & F.col("e3").eqNullSafe(F.col("e4"))).select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit("").alias("label"))
+    edges = cut(edges)
     return Graph(ranks.select("id", F.concat_ws(":", "f", "s").alias("name"), F.lit("").alias("label")), edges)
 
 

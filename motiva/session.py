@@ -1,12 +1,32 @@
-"""Makes the package importable in Python workers, wherever the session was started."""
+"""What operators need of a session: the package on its executors, and tables in the folder that they share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as set in ``spark.checkpoint.dir``; a local one only where none is set."""
+    sc = spark.sparkContext
+    d = sc._jsc.sc().getCheckpointDir()
+    if d.isDefined():
+        return d.get()
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    sc.setCheckpointDir(conf or "file://" + tempfile.mkdtemp(prefix="motiva-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read back: lineage ends here, and no part of it is lost with an executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/motiva-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> SparkSession:
