@@ -1,9 +1,7 @@
-"""Shared helpers: input columns, cutting lineage, and vectorised word hashing over Arrow buffers."""
+"""Shared helpers: input columns and vectorised word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,26 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as set in ``spark.checkpoint.dir``; a local one only where none is set."""
-    sc = spark.sparkContext
-    d = sc._jsc.sc().getCheckpointDir()
-    if d.isDefined():
-        return d.get()
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(conf or "file://" + tempfile.mkdtemp(prefix="motiva-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+from ..session import cut, shared_dir
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: lineage ends here, and no part of it is lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motiva-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "distinct", "hash_words", "longs", "mix", "ngrams", "ragged", "shared_dir", "slices", "small", "span_hash", "table", "words_col"]
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
