@@ -28,38 +28,45 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = "[ \\t\\n\\r\\f]+"
 HEADS = ("low", "toxic")
+WORDS = "regexp_extract_all(lower({0}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"
 
 
-def _left(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, "")).cast("double")
+def _only(text: Column, other: str) -> Column:
+    """How many characters are left without runs of ``other``."""
+    return F.length(F.regexp_replace(text, other, "")).cast("double")
+
+
+def _among(words: list[str]):
+    return lambda w: w.isin(words)
 
 
 def statistics(docs: DataFrame, lexicons: dict[str, list[str]], carry: list[str]) -> DataFrame:
-    """The columns ``carry`` and the statistics, named __f_*, of the column text."""
+    """The columns ``carry`` and the statistics, named __f_*, of the column text.
+
+    Small letters and spaces, the bulk of a text, are removed once; capitals, digits, stops and symbols are counted in the rest.
+    """
     part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     base = docs.select(*carry, F.coalesce(F.col("text"), F.lit("")).alias("__t"))
-    base = base.withColumns({"__words": F.filter(F.split("__t", SPACE), lambda w: w != ""), "__lines": F.split("__t", "\n"), "__n": F.length("__t").cast("double")})
-    found = {f"__f_{k}": (F.size(F.expr(f"regexp_extract_all(lower(__t), '{pattern(words)}', 0)")).cast("double") if words else F.lit(0.0)) for k, words in lexicons.items()}
+    base = base.withColumns({"__words": F.expr(WORDS.format("__t")), "__lines": F.split("__t", "\n"), "__n": F.length("__t").cast("double"), "__rest": F.regexp_replace("__t", "[a-z \\p{Ll}]+", ""), "__dense": F.length(F.replace("__t", F.lit(" "), F.lit(""))).cast("double")})
+    found = {f"__f_{k}": (F.size(F.filter("__words", _among(words))).cast("double") if words else F.lit(0.0)) for k, words in lexicons.items()}
     base = base.withColumns(
         {
             "__f_words": F.size("__words").cast("double"),
             "__distinct": F.size(F.array_distinct("__words")).cast("double"),
             "__f_lines": F.size("__lines").cast("double"),
             "__dlines": F.size(F.array_distinct("__lines")).cast("double"),
-            "__upper": _left(F.col("__t"), "[^\\p{Lu}]+"),
-            "__symbols": _left(F.col("__t"), "[\\p{L}\\p{N}\\s.,;:'\"()-]+"),
-            "__digits": _left(F.col("__t"), "[^0-9]+"),
-            "__stops": _left(F.col("__t"), "[^.!?]+"),
-            "__blank": _left(F.col("__t"), "[^ \\t\\n\\r\\f]+"),
+            "__upper": _only(F.col("__rest"), "[^\\p{Lu}]+"),
+            "__symbols": _only(F.col("__rest"), "[\\p{L}\\p{N}\\s.,;:'\"()-]+"),
+            "__digits": _only(F.col("__rest"), "[^0-9]+"),
+            "__stops": _only(F.col("__rest"), "[^.!?]+"),
         }
         | found
     )
+    base = base.withColumn("__f_length", F.col("__dense") - F.col("__f_lines") + 1)
     return base.withColumns(
         {
-            "__f_length": F.col("__n") - F.col("__blank"),
-            "__f_mean_word": part(F.col("__n") - F.col("__blank"), F.col("__f_words")),
+            "__f_mean_word": part(F.col("__f_length"), F.col("__f_words")),
             "__f_distinct": part(F.col("__distinct"), F.col("__f_words")),
             "__f_distinct_lines": part(F.col("__dlines"), F.col("__f_lines")),
             "__f_upper": part(F.col("__upper"), F.col("__n")),
@@ -73,12 +80,6 @@ def statistics(docs: DataFrame, lexicons: dict[str, list[str]], carry: list[str]
 NAMES = ["words", "lines", "length", "mean_word", "distinct", "distinct_lines", "upper", "symbols", "digits", "stops", *HEADS]
 
 
-def pattern(words: list[str]) -> str:
-    """Matches one of ``words``, which are of letters, as a whole word; the look-ahead fails at most places at once."""
-    first = "".join(sorted({w[0] for w in words}))
-    return f"(?=[{first}])(?<!\\\\p{{L}})(?:{'|'.join(words)})(?!\\\\p{{L}})"
-
-
 Condition = tuple[str, bool, float]  # statistic, above (else at most), bound
 
 
@@ -161,8 +162,9 @@ def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
     return float(b - (w * centre).sum()), w
 
 
-def fit_rules(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 0.002, seed: int = 4) -> Rules:
-    """The rules for label ``y`` (0 or 1); with one class only, or no row, a score of 0."""
+def fit_rules(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 30, depth: int = 3, strength: float = 0.08, seed: int = 4) -> Rules:
+    """The rules for label ``y`` (0 or 1); with one class only, or no row, a score of 0. The lasso's penalty is ``strength`` times
+    the root of log(rules) / rows, so that few rows don't make for rules that fit chance."""
     if not len(y) or y.min() == y.max():
         return Rules(-20.0)
     names = list(x)
@@ -176,7 +178,7 @@ def fit_rules(x: dict[str, np.ndarray], y: np.ndarray, trees: int = 30, depth: i
     held = np.stack([holds_in(r, x) for r in rules], axis=1).astype(np.float32)
     _, first = np.unique(held, axis=1, return_index=True)
     first.sort()
-    bias, w = _lasso(held[:, first], y.astype(float), penalty)
+    bias, w = _lasso(held[:, first], y.astype(float), strength * np.sqrt(np.log(len(first) + 1) / len(y)))
     return Rules(bias, [(float(a), rules[k]) for a, k in zip(w, first.tolist()) if abs(a) > 1e-3])
 
 
@@ -198,10 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, least_sha
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("__y_low"), F.max((F.col("toxic") == 1).cast("int")).alias("__y_toxic"))
     picked = known.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(sample_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(picked), "__id")  # sample_rows bounds what is broadcast
-    listed = sample.select("__y_low", "__y_toxic", F.expr("regexp_extract_all(lower(coalesce(text, '')), '\\\\p{L}+', 0)").alias("__ws"))
+    listed = sample.select("__y_low", "__y_toxic", F.expr(WORDS.format("coalesce(text, '')")).alias("__ws"))
     listed = listed.select("__y_low", "__y_toxic", F.expr("sort_array(transform(__ws, (w, i) -> struct(w as w, if(i = 0, '', __ws[i - 1]) as before)))").alias("__ps"))
     listed = listed.select("__y_low", "__y_toxic", F.explode(F.expr("filter(__ps, (p, i) -> i = 0 or __ps[i - 1].w <> p.w)")).alias("__p"))
-    contexts = listed.groupBy("__p").agg(*(F.max(f"__y_{k}").alias(k) for k in HEADS))
+    contexts = listed.groupBy("__p").agg(*(F.min(f"__y_{k}").alias(k) for k in HEADS))
     counts = contexts.groupBy(F.col("__p.w").alias("__w")).agg(F.count("*").alias("n"), *(F.sum(k).alias(k) for k in HEADS))
     rows, *bad = sample.agg(F.count("*"), *(F.coalesce(F.sum(f"__y_{k}"), F.lit(0)) for k in HEADS)).first()
     lexicons: dict[str, list[str]] = {}
