@@ -75,9 +75,10 @@ def mix_documents(docs: DataFrame, weights: dict[str, float], budget_share: floa
     last = chosen.agg(F.max(F.struct(*ORDER))).first()[0]
     if last is None:
         return docs.limit(0)
-    timed = _finish(_keyed(docs, seed, tokens()), before, buckets, weights, other)
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
+    timed = _finish(_keyed(whole, seed, tokens()), before, buckets, weights, other)
     bound = F.struct(*(F.lit(last[k]).cast(t).alias(k) for k, t in zip(ORDER, ("double", "string", "string", "long", "long"))))
-    return timed.where(F.struct(*ORDER) <= bound).orderBy(*ORDER).select(*docs.columns)
+    return timed.where(F.struct(*ORDER) <= bound).orderBy(*ORDER).select("__row.*")
 
 
 def mixing_sql(weights: dict[str, float], budget_share: float, seed: int, other: float) -> str:

@@ -205,7 +205,7 @@ def _write(folder: str, vocabulary: str, end: int, shard_bytes: int):
         try:
             for batch in batches:
                 ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                for i, j, raw, offsets in slices(batch, "text", 3 << 20):
+                for i, j, raw, offsets in slices(batch, "text", min(3 << 20, shard_bytes)):
                     tokens, counts = encode(raw, offsets, enc, widths)
                     data, payload = frames(ids[i:j], tokens, counts, end)
                     if file is None or written >= shard_bytes:

@@ -84,7 +84,7 @@ RULES = (
     Rule(
         "assigned_secret",
         ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "credential"),
-        re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access_key|credentials?)[A-Za-z0-9_]{0,20}[\"']?\s{0,3}(?:=|:=|=>|:)\s{0,3}(?P<q>[\"'])(?P<s>[^\s\"']{16,200})(?P=q)"),
+        re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access_key|credentials?)[A-Za-z0-9_]{0,20}[\"']?\s{0,3}(?:=|:=|=>|:)\s{0,3}(?P<q>[\"'])(?P<s>(?!\[\w+\])[^\s\"']{16,200})(?P=q)"),
         lambda v: entropy(v) >= 3.0,
     ),
     Rule("payment_card", ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65"), re.compile(r"(?<![\d.])(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})(?![\d.]*\d)"), luhn),
