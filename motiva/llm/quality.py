@@ -64,7 +64,7 @@ def statistics(docs: DataFrame, lexicons: dict[str, list[str]], carry: list[str]
         | found
     )
     base = base.withColumn("__f_length", F.col("__dense") - F.col("__f_lines") + 1)
-    return base.withColumns(
+    base = base.withColumns(
         {
             "__f_mean_word": part(F.col("__f_length"), F.col("__f_words")),
             "__f_distinct": part(F.col("__distinct"), F.col("__f_words")),
@@ -75,6 +75,10 @@ def statistics(docs: DataFrame, lexicons: dict[str, list[str]], carry: list[str]
             "__f_stops": part(F.col("__stops"), F.col("__f_words")),
         }
     )
+    # A filter on scores would be pushed below these projections, with every statistic written out wherever a rule uses it;
+    # it isn't pushed below a generator.
+    once = base.select(*carry, F.explode_outer(F.array(F.struct(*(F.col(f"__f_{f}").alias(f) for f in NAMES)))).alias("__s"))
+    return once.select(*carry, *(F.col(f"__s.{f}").alias(f"__f_{f}") for f in NAMES))
 
 
 NAMES = ["words", "lines", "length", "mean_word", "distinct", "distinct_lines", "upper", "symbols", "digits", "stops", *HEADS]
