@@ -200,7 +200,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id
     dim = top[0]
     one = cut(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")))
     shards = max(1, math.ceil(one.count() / shard_rows))
-    graphs = one.withColumn("shard", F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)")).groupBy("shard").applyInArrow(_graphs(degree, beam, alpha), PARTS)
+    graphs = one.withColumn("shard", F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)")).repartition(shards, "shard").groupBy("shard").applyInArrow(_graphs(degree, beam, alpha), PARTS)
     null = F.lit(None).cast("binary")
     queries = one.mapInArrow(_blocks(1024), "a binary, b binary").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("start"), "a", "b", null.alias("c"), null.alias("d"))
     found = graphs.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dim, degree, beam, k), "id long, near array<struct<d:double,i:long>>")
