@@ -187,6 +187,9 @@ def media_sequences(pages: DataFrame, store: DataFrame | None = None, skip_frame
         held = held.unionByName(store.where("digest is not null").select("digest", F.col("mime").cast("string").alias("mime"), "payload"))
     payloads = held.groupBy("digest").agg(F.min(F.struct("payload", "mime")).alias("p")).select("digest", "p.mime", "p.payload")
     resolved = refs.join(payloads, "digest").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("mime", "payload")))).alias("__got"))
-    joined = parsed.join(resolved, "__row", "left")
+    some = F.exists("segments", lambda s: s["kind"] != "text")
+    got = resolved.schema["__got"].dataType
+    # Pages without references have nothing to resolve, so their texts stay where they are.
+    joined = parsed.where(some).join(resolved, "__row", "left").unionByName(parsed.where(~some).withColumn("__got", F.lit(None).cast(got)))
     full = F.transform("segments", lambda s: F.struct(*(s[c].alias(c) for c in ("position", "kind", "text", "tag", "url", "digest", "caption")), F.try_element_at("__got", s["position"])["mime"].alias("mime"), F.try_element_at("__got", s["position"])["payload"].alias("payload")))
     return joined.select("page_id", "url", full.alias("segments"), F.size(F.filter("segments", lambda s: s["kind"] != "text")).alias("n_media"), F.when(F.col("__got").isNull(), 0).otherwise(F.size("__got")).alias("n_resolved"))
