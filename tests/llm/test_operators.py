@@ -310,6 +310,27 @@ def test_shared_passages(spark, docs):
                 assert any(s <= i and e >= i + 50 for s, e in spans[d]), (d, i)
 
 
+def edited(rng, size, edits, n):
+    """n pairs of documents whose only common words are a passage of ``size`` words, ``edits`` of them changed in the second."""
+    word, rows = lambda: f"w{rng.randrange(50_000)}", []
+    for i in range(n):
+        own = [word() for _ in range(size)]
+        new = own[:]
+        for j in rng.sample(range(size), edits):
+            new[j] = f"x{rng.randrange(50_000)}"
+        for k, middle in enumerate((own, new)):
+            rows.append((2 * i + k, " ".join([*(word() for _ in range(200)), *middle, *(word() for _ in range(200))])))
+    return rows
+
+
+def found_edited(spark, rows):
+    return {r.doc_a // 2 for r in substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_b == r.doc_a + 1 and r.doc_a % 2 == 0}
+
+
+def test_passages_with_few_seeds(spark):
+    assert len(found_edited(spark, edited(random.Random(1), 60, 6, 50))) >= 48
+
+
 def crc_slow(data):
     c = 0xFFFFFFFF
     for b in data:
