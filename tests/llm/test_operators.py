@@ -331,6 +331,27 @@ def test_passages_with_few_seeds(spark):
     assert len(found_edited(spark, edited(random.Random(1), 60, 6, 50))) >= 48
 
 
+def test_passages_with_one_seed(spark):
+    # Only the 11 words between the changes at 24 and 36 hold seeds, often one.
+    rng, rows = random.Random(2), []
+    word = lambda: f"w{rng.randrange(50_000)}"
+    for i in range(40):
+        own = [word() for _ in range(60)]
+        new = [f"x{j}" if j in (4, 9, 14, 19, 24, 36, 41, 46, 51, 56) else w for j, w in enumerate(own)]
+        rows += [(2 * i + k, " ".join([*(word() for _ in range(100)), *middle, *(word() for _ in range(100))])) for k, middle in enumerate((own, new))]
+    assert len(found_edited(spark, rows)) == 40
+    # Alignments of a lone match near the ends of what is sent of the other document come out as with all of it.
+    rng = random.Random(3)
+    run = [f"r{rng.randrange(10**6)}" for _ in range(400)]
+    far = [w if i % 5 else f"y{i}" for i, w in enumerate(run)]
+    far[200], far[205] = run[200], run[205]
+    rows = [(0, " ".join(["a"] * 40 + run + ["b"] * 40)), (1, " ".join(["c"] * 40 + far + ["d"] * 40))]
+    spans = [(r.start_a, r.end_a) for r in substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert any(s <= 45 and e >= 435 for s, e in spans)
+    x, y = np.array([0, 50, 5]), np.array([10, 60, 12])
+    assert sorted(np.concatenate(substrings.chains(x, y, 6.0, 24)).tolist()) == [0, 1, 2]
+
+
 def crc_slow(data):
     c = 0xFFFFFFFF
     for b in data:
