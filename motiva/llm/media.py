@@ -7,7 +7,8 @@ digests: with what pages carry themselves, and with a store of payloads by diges
 touches neither texts nor positions, so these stay aligned.
 
 Defined cases: a null or empty html gives an empty sequence; broken markup is read as browsers would at least as far as text
-goes; script, style, template and noscript are skipped, as are navigation and footers if asked; a reference without an
+goes; script, style, template and noscript are skipped, as are navigation and footers if asked; a head
+without an end tag ends where what may not stand in it begins; a caption whose figure has no reference is text; a reference without an
 address is no reference; a data: URI that can't be decoded has the digest of its text and no payload; a null url leaves
 addresses relative; equal digests resolve alike, and of a store's rows that share a digest that with the least payload
 counts; repeated rows have a sequence each; a null page_id stays null; other columns are ignored; an empty table gives no
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SKIP = frozenset(("script", "style", "template", "noscript", "head", "svg", "math"))
+#: What may stand in a head; any other tag, and text outside these, ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
 FRAME = frozenset(("nav", "footer", "aside"))
 BLOCK = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "", "embed": "object", "object": "object", "iframe": "frame", "image": "image"}
@@ -62,7 +65,7 @@ class Sequence(HTMLParser):
         self.inline: list[tuple[str, str, bytes]] = []
         self.text: list[str] = []
         self.closed: list[str] = []
-        self.figures: list[tuple[int, list[str]]] = []
+        self.figures: list[tuple[int, list[str], list[int]]] = []  # first segment, words of the caption, segments before its parts
         self.captions = 0
         self.holder = ""
 
@@ -73,8 +76,10 @@ class Sequence(HTMLParser):
             self.out.append({"kind": "text", "text": text, "tag": None, "url": None, "digest": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.closed == ["head"] and tag not in HEAD or self.closed == ["head", "noscript"] and tag == "body":
+            self.closed = []
         if self.closed:
-            if tag in self.closed or tag in self.skip:
+            if tag in self.closed or tag in self.skip or tag == "title" and self.closed == ["head"]:
                 if tag not in VOID:
                     self.closed.append(tag)
             return
@@ -85,9 +90,11 @@ class Sequence(HTMLParser):
         if tag in BLOCK or tag in MEDIA:
             self.flush()
         if tag == "figure":
-            self.figures.append((len(self.out), []))
+            self.figures.append((len(self.out), [], []))
         elif tag == "figcaption":
             self.captions += 1
+            if self.figures:
+                self.figures[-1][2].append(len(self.out))
         if tag in MEDIA:
             if tag in ("video", "audio"):
                 self.holder = tag
@@ -115,6 +122,8 @@ class Sequence(HTMLParser):
         self.out.append({"kind": kind, "text": None, "tag": tag, "url": address, "digest": digest, "caption": caption})
 
     def handle_endtag(self, tag: str) -> None:
+        if self.closed == ["head"] and tag in ("body", "html", "br"):
+            self.closed = []
         if self.closed:
             if tag in self.closed:
                 while self.closed.pop() != tag:
@@ -130,14 +139,18 @@ class Sequence(HTMLParser):
             self.figure()
 
     def figure(self) -> None:
-        first, words = self.figures.pop()
+        first, words, at = self.figures.pop()
         caption = " ".join("".join(words).split())
         if caption:
-            for s in self.out[first:]:
-                if s["kind"] != "text":
-                    s["caption"] = caption
+            held = [s for s in self.out[first:] if s["kind"] != "text"]
+            for s in held:
+                s["caption"] = caption
+            if not held:
+                self.out.insert(at[0] if at else first, {"kind": "text", "text": caption, "tag": None, "url": None, "digest": None, "caption": None})
 
     def handle_data(self, data: str) -> None:
+        if self.closed == ["head"] and data.strip():
+            self.closed = []
         if self.closed:
             return
         if self.captions and self.figures:

@@ -248,6 +248,15 @@ def test_media(spark):
     assert [bytes(s.payload) if s.payload else None for s in rows[1].segments] == [None, b"PNGDATA", None, b"J", None, None, None, None]
 
 
+def test_head_and_captions_without_media():
+    texts = lambda html: [s["text"] or s["url"] for s in sequence(html, None)[0]]
+    assert texts("<html><head><title>t</title><style>s</style><body><p>One<img src=a><p>two</html>") == ["One", "a", "two"]
+    assert texts("<head><meta charset=x><title>t</title><p>One") == ["One"] and texts("<head><title>t</title> One") == ["One"]
+    assert texts("<head><title>t</title><noscript><img src=p></noscript></head><body>One") == ["One"]
+    assert texts("<p>a<figure><figcaption>The table</figcaption><table><tr><td>1</table></figure>b") == ["a", "The table", "1", "b"]
+    assert texts("<figure><pre>code</pre><figcaption>Listing") == ["code", "Listing"]
+
+
 @pytest.mark.parametrize("shard_rows", [150, 4096])
 def test_vectors_find_their_neighbours(spark, shard_rows):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
