@@ -72,8 +72,17 @@ class Rule:
     back: int = 0
 
 
+#: To its END, with header lines; without END, the known header lines and the lines of base64 that follow, the last of any length if it stands alone.
+GAP = r"(?:\s|\\[rnt])*+"
+PRIVATE_KEY = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:"
+    rf"(?:{GAP}[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+    rf"|(?:{GAP}(?:Proc-Type|DEK-Info|Content-Domain|Key-Info|MIC-Info|Comment|Subject|Version|(?:Originator|Recipient|X)-[A-Za-z-]+):[^\r\n\\]*+)*+"
+    rf"(?:{GAP}[A-Za-z0-9+/=]{{40,}}+)*+(?:{GAP}[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n\\\"'`<]|$)))?+)"
+)
+
 RULES = (
-    Rule("private_key", ("-----begin",), re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"), lambda v: True),
+    Rule("private_key", ("-----begin",), PRIVATE_KEY, lambda v: True),
     Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), has_crc),
     Rule("npm_token", ("npm_",), re.compile(r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), has_crc),
     Rule("aws_key_id", ("akia", "asia"), re.compile(r"(?<![A-Za-z0-9])A(?:KI|SI)A[A-Z2-7]{16}(?![A-Za-z0-9])"), lambda v: entropy(v[4:]) >= 2.5),
@@ -84,7 +93,10 @@ RULES = (
     Rule(
         "assigned_secret",
         ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "credential"),
-        re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|access_key|credentials?)[A-Za-z0-9_]{0,20}[\"']?\s{0,3}(?:=|:=|=>|:)\s{0,3}(?P<q>[\"'])(?P<s>(?!\[\w+\])[^\s\"']{16,200})(?P=q)"),
+        re.compile(
+            r"(?i)(?:token|secret|password|passwd|api[_-]?key|access_key|credentials?)[A-Za-z0-9_]{0,20}[\"']?\s{0,3}(?:=|:=|=>|:)\s{0,3}"
+            r"(?P<q>[\"'])?(?P<s>(?(q)(?!\[\w+\])[^\s\"']{16,}+|(?!=)[A-Za-z0-9+/=_.~!@#%^*-]{16,}+))(?(q)(?P=q)|(?=[\s,;&\"'<]|$))"
+        ),
         lambda v: entropy(v) >= 3.0,
     ),
     Rule("payment_card", ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65"), re.compile(r"(?<![\d.])(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})(?![\d.]*\d)"), luhn),
