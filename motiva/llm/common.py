@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "distinct", "hash_words", "longs", "mix", "ngrams", "ragged", "shared_dir", "slices", "small", "span_hash", "table", "words_col"]
+__all__ = ["cut", "distinct", "hash_words", "input_bytes", "longs", "mix", "ngrams", "packed_row", "ragged", "shared_dir", "slices", "small", "span_hash", "table", "words_col"]
 SLICE_BYTES = 1 << 20
 
 
@@ -24,6 +24,18 @@ def small(df: DataFrame, limit_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit_rows + 1).count() <= limit_rows else df
 
 
+def packed_row(df: DataFrame, name: str = "__row"):
+    """All columns of ``df`` as one struct, whatever characters their names have; ``name.*`` gives them back."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias(name)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as the planner knows them; 0 for what comes from elsewhere. No job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = (leaves.apply(k) for k in range(leaves.size()))
+    return sum(int(x.stats().sizeInBytes()) for x in found if x.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation"))
+
+
 def words_col(text: str = "text"):
     """Lower-cased text that ends in a separator, as ``hash_words`` expects it; null counts as empty."""
     return F.concat(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("\n"))

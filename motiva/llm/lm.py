@@ -1,14 +1,17 @@
 """N-gram language-model scores from a log-frequency Bloom filter.
 
-All word n-grams of the corpus up to ``order`` are counted. A count c becomes the level 1 + floor(log_base c), and an n-gram
-of level q is put into the filter q times, as (n-gram, 1) .. (n-gram, q). To read a count, membership of (n-gram, 1),
-(n-gram, 2), .. is probed until one fails; the level gives the middle of its range of counts. False positives only raise a
-level, and one more step is as unlikely again. Probabilities interpolate the orders with fixed weights, with half an
-occurrence for words never seen.
-
-The filter is in segments by hash of the n-gram, each built by one task from the sorted counts that all tasks send it, and
-written as a table. Up to ``broadcast_bytes`` it is broadcast and probed in one pass. Beyond that, the distinct n-grams of
-each slice of documents go to the segments by shuffle and their levels come back: the same answers for any size.
+All word n-grams of the corpus up to ``order`` are counted. As every text scored is part of the corpus, an occurrence is
+scored by the others: c is the count less one. A c of 1 or more becomes the level 1 + floor(log_base c), and an n-gram of
+level q is put into the filter q times, as (n-gram, 1) .. (n-gram, q); n-grams that occur once need no entry. To read c,
+membership of (n-gram, 1), (n-gram, 2), .. is probed until one fails; the level gives the middle of its range. False
+positives only raise a level, one more step is as unlikely again, and a level is cut to those of the two n-grams of one word
+less. Probabilities interpolate the orders with fixed
+weights, with half an occurrence for words never seen.
+
+The filter is in segments by hash of the n-gram, as many as the size of the input asks for, each built by one task from the
+sorted counts that all tasks send it, and written as a table. Up to ``broadcast_bytes`` it is broadcast and probed in one
+pass. Beyond that, the distinct n-grams of each slice of documents go to the segments by shuffle and their levels come back:
+the same answers for any size.
 
 Defined cases: words are runs of letters and digits in lower case; a text without words, or null, has n_words 0,
 log_prob 0.0 and a null perplexity, and null doc_ids are scored too; repeated rows count, and are scored, each; texts are
@@ -18,22 +21,23 @@ scored whole; other columns are ignored; an empty table gives no row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, mix, slices, words_col
+from .common import cut, hash_words, input_bytes, mix, slices, words_col
 
-BITS = 12  # of the filter for each entry
+BITS = 20  # of the filter for each entry
 PROBES = 4  # bits set for an entry, all in one word of 64
 MOST_LEVELS = 120
+SEGMENT_BYTES = 64 << 20  # of input for each segment
 
 
 def keys(h: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
@@ -59,6 +63,16 @@ def _sorted_counts(k: np.ndarray, weights: np.ndarray | None = None) -> tuple[np
     return k[at], n
 
 
+def packed(k: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, first all low bytes, then the next ones and so on: the high ones are mostly 0, which a shuffle compresses away."""
+    return np.diff(k, prepend=np.zeros(1, k.dtype)).view(np.uint8).reshape(len(k), -1).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel(), dtype=kind)
+
+
 def _count(order: int, segments: int, flush: int = 3_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(order)]
@@ -77,7 +91,7 @@ def _count(order: int, segments: int, flush: int = 3_000_000):
                 rows = [s for s in range(segments) if bound[s + 1] > bound[s]]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows, pa.int32()), pa.array([n + 1] * len(rows), pa.int32()), pa.array([k[bound[s] : bound[s + 1]].tobytes() for s in rows], pa.binary()), pa.array([np.minimum(c[bound[s] : bound[s + 1]], 2**32 - 1).astype(np.uint32).tobytes() for s in rows], pa.binary())],
+                        [pa.array(rows, pa.int32()), pa.array([n + 1] * len(rows), pa.int32()), pa.array([packed(k[bound[s] : bound[s + 1]]) for s in rows], pa.binary()), pa.array([packed(np.minimum(c[bound[s] : bound[s + 1]], 2**32 - 1).astype(np.uint32)) for s in rows], pa.binary())],
                         names=["segment", "n", "keys", "counts"],
                     )
             size = 0
@@ -125,11 +139,11 @@ def _merge(base: float):
             rows = held.pop(segment)
             k, c, seen, total = [], [], 0, 0
             for n in sorted({r[0] for r in rows}):
-                x, y = _sorted_counts(np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows if r[0] == n]), np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows if r[0] == n]).astype(np.int64))
+                x, y = _sorted_counts(np.concatenate([unpacked(r[1], np.uint64) for r in rows if r[0] == n]), np.concatenate([unpacked(r[2], np.uint32) for r in rows if r[0] == n]).astype(np.int64))
                 if n == 1:
                     seen, total = len(x), int(y.sum())
-                k.append(x)
-                c.append(y)
+                k.append(x[y > 1])
+                c.append(y[y > 1] - 1)
             data = build(np.concatenate(k), levels_of(np.concatenate(c), base))
             return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([data.tobytes()], pa.binary()), pa.array([seen], pa.int64()), pa.array([total], pa.int64())], names=["segment", "filter", "seen", "total"])
 
@@ -147,14 +161,15 @@ def _merge(base: float):
 class Filter:
     """Segments of a filter, side by side."""
 
-    def __init__(self, parts: dict[int, bytes], segments: int) -> None:
-        self.words = np.zeros(segments, dtype=np.uint64)
-        for s, b in parts.items():
-            self.words[s] = len(b) // 8
-        self.first = (np.cumsum(self.words) - self.words).astype(np.int64)
-        self.data = np.zeros(int(self.words.sum()), dtype=np.uint64)
-        for s, b in parts.items():
-            self.data[self.first[s] : self.first[s] + len(b) // 8] = np.frombuffer(b, dtype=np.uint64)
+    def __init__(self, parts: Iterable[tuple[int, bytes]], segments: int, size: int) -> None:
+        """``size``: bytes of all parts."""
+        self.words, self.first = np.zeros(segments, dtype=np.uint64), np.zeros(segments, dtype=np.int64)
+        self.data, at = np.zeros(size // 8, dtype=np.uint64), 0
+        for s, b in parts:
+            n = len(b) // 8
+            self.words[s], self.first[s] = n, at
+            self.data[at : at + n] = np.frombuffer(b, dtype=np.uint64)
+            at += n
 
     def levels(self, k: np.ndarray) -> np.ndarray:
         """The level of each n-gram: how many memberships in a row hold."""
@@ -179,9 +194,14 @@ def middle(q: np.ndarray, base: float) -> np.ndarray:
 
 
 def log_probs(q: list[np.ndarray], there: list[np.ndarray], base: float, seen: int, total: int, weights: tuple[float, ...]) -> np.ndarray:
-    """Natural logarithm of each word's probability. ``q``: levels of the n-grams that end at it, for n = 1.. ; ``there``: whether it has one."""
+    """Natural logarithm of each word's probability. ``q``: levels of the n-grams that end at it, for n = 1.. ; ``there``: whether
+    it has one. The last of ``weights`` holds for all orders beyond them."""
+    q = list(q)
+    for n in range(1, len(q)):
+        q[n] = np.minimum(q[n], np.minimum(q[n - 1], np.concatenate([q[n - 1][:1], q[n - 1][:-1]])))
     c = [middle(x, base) for x in q]
-    p = (c[0] + 0.5) / (total + 0.5 * (seen + 1))
+    weights = (*weights, *(weights[-1:] or (0.0,)) * len(c))
+    p = (c[0] + 0.5) / (total - 1 + 0.5 * (seen + 1))
     for n in range(1, len(c)):
         before = np.concatenate([[0.0], c[n - 1][:-1]])
         ratio = np.minimum(1.0, c[n] / np.maximum(before, np.maximum(c[n], 1.0)))
@@ -263,7 +283,7 @@ def _answer(segments: int):
             rows = []
             for at, s, kind, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if kind == 0:
-                    now, part = s, Filter({s: a}, segments)
+                    now, part = s, Filter([(s, a)], segments, len(a))
                 else:
                     k = np.frombuffer(a, np.uint64)
                     q = part.levels(k) if now == s else np.zeros(len(k), np.uint8)
@@ -304,16 +324,19 @@ def _finish(order: int, base: float, seen: int, total: int, weights: tuple[float
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = 2, base: float = 1.5, weights: tuple[float, ...] = (0.7, 0.7), broadcast_bytes: int = 256 << 20) -> DataFrame:
-    """(doc_id, n_words, log_prob, perplexity) of every document under the model of all of them. ``weights[n - 2]``: of order n against the orders below."""
+def lm_scores(docs: DataFrame, order: int = 3, base: float = 1.5, weights: tuple[float, ...] = (0.7, 0.7), broadcast_bytes: int = 256 << 20) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity) of every document under the model of all of them but the occurrence that is
+    scored. ``weights[n - 2]``: of order n against the orders below; the last for all orders beyond."""
+    if order < 1 or not all(0 <= w <= 1 for w in weights):
+        raise ValueError("order is 1 at least, and weights lie between 0 and 1")
     spark = docs.sparkSession
-    segments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs.select("text")) // SEGMENT_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_col().alias("w"))
     counts = source.select("w").mapInArrow(_count(order, segments), "segment int, n int, keys binary, counts binary")
     parts = cut(counts.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(_merge(base), "segment int, filter binary, seen long, total long"))
     size, seen, total = parts.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(Filter(_read_parts(parts), segments))
+        shared = spark.sparkContext.broadcast(Filter(_read_parts(parts), segments, size))
         return source.mapInArrow(_score(shared, order, base, seen, total, weights), SCORES)
     asked = cut(source.mapInArrow(_ask(order, segments), ASKED))
     none = F.lit(None).cast("binary")
@@ -322,14 +345,12 @@ def lm_scores(docs: DataFrame, order: int = 2, base: float = 1.5, weights: tuple
     return asked.where("kind = 0").unionByName(answers).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(_finish(order, base, seen, total, weights), SCORES)
 
 
-def _read_parts(parts: DataFrame) -> dict[int, bytes]:
-    """The segments of the written table, read past the JVM."""
-    files = parts.inputFiles()
-    if not files:
-        return {}
-    store, _ = fs.FileSystem.from_uri(_uri(files[0]))
-    found = pads.dataset([fs.FileSystem.from_uri(_uri(f))[1] for f in files], format="parquet", filesystem=store).to_table(columns=["segment", "filter"])
-    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+def _read_parts(parts: DataFrame) -> Iterator[tuple[int, bytes]]:
+    """The segments of the written table, read past the JVM, a file at a time."""
+    for f in parts.inputFiles():
+        store, path = fs.FileSystem.from_uri(_uri(f))
+        found = pq.read_table(path, filesystem=store, columns=["segment", "filter"])
+        yield from zip(found.column(0).to_pylist(), found.column(1).to_pylist())
 
 
 def _uri(path: str) -> str:

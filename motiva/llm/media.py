@@ -11,7 +11,7 @@ goes; script, style, template and noscript are skipped, as are navigation and fo
 without an end tag ends where what may not stand in it begins; a caption whose figure has no reference is text; a reference without an
 address is no reference; a data: URI that can't be decoded has the digest of its text and no payload; a null url leaves
 addresses relative; equal digests resolve alike, and of a store's rows that share a digest that with the least payload
-counts; repeated rows have a sequence each; a null page_id stays null; other columns are ignored; an empty table gives no
+counts; pages are parsed whole, however long; repeated rows have a sequence each; a null page_id stays null; other columns are ignored; an empty table gives no
 row.
 """
 

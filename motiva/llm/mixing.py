@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed_row
 
 ROWS = 10_000
 ORDER = ["__finish", "__source", "__key", "__doc", "__tokens"]
@@ -75,7 +75,7 @@ def mix_documents(docs: DataFrame, weights: dict[str, float], budget_share: floa
     last = chosen.agg(F.max(F.struct(*ORDER))).first()[0]
     if last is None:
         return docs.limit(0)
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
+    whole = docs.select(packed_row(docs), "doc_id", "source", "text")
     timed = _finish(_keyed(whole, seed, tokens()), before, buckets, weights, other)
     bound = F.struct(*(F.lit(last[k]).cast(t).alias(k) for k, t in zip(ORDER, ("double", "string", "string", "long", "long"))))
     return timed.where(F.struct(*ORDER) <= bound).orderBy(*ORDER).select("__row.*")

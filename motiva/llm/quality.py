@@ -9,14 +9,15 @@ Two statistics count words of a lexicon: words that the sample has in many conte
 proportion, hardly elsewhere. A context is the word before it; a document gives each of its words one, so neither copies of
 a document nor one long document make a word count often.
 
-The sample is the ``sample_rows`` labelled documents that come first in the order of a hash of doc_id; nothing else is
-bounded.
+The sample is the ``sample_rows`` labelled documents that come first in the order of a hash of doc_id, written once and
+read by every step of the fit; nothing else is bounded, and a lexicon holds every word that meets its conditions.
 
 Defined cases: a null text has the statistics of an empty one, and is rejected as holding nothing to train on, as is a text
 without any word; a null doc_id can't be labelled, but is scored; rows of ``labels`` with a null are left out, and a doc_id
 labelled twice counts as bad if any of its labels says so; repeated rows are scored each; other columns are passed on by
-``keep_good`` untouched; without labels, or with one class only, nothing is rejected for that label; an empty table gives no
-row.
+``keep_good`` untouched, whatever their names; statistics are of whole texts, however long; a probability of exactly 0.5
+rejects, and splits of equal gain go to the statistic drawn first; without labels, or with one class only, nothing is
+rejected for that label; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, packed_row
+
 HEADS = ("low", "toxic")
 WORDS = "regexp_extract_all(lower({0}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)"
 
@@ -203,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, least_sha
     proportion to the documents, as in the others."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max((F.col("quality") == 0).cast("int")).alias("__y_low"), F.max((F.col("toxic") == 1).cast("int")).alias("__y_toxic"))
     picked = known.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(sample_rows)
-    sample = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(picked), "__id")  # sample_rows bounds what is broadcast
+    sample = cut(docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(picked), "__id"))  # sample_rows bounds what is broadcast
     listed = sample.select("__y_low", "__y_toxic", F.expr(WORDS.format("coalesce(text, '')")).alias("__ws"))
     listed = listed.select("__y_low", "__y_toxic", F.expr("sort_array(transform(__ws, (w, i) -> struct(w as w, if(i = 0, '', __ws[i - 1]) as before)))").alias("__ps"))
     listed = listed.select("__y_low", "__y_toxic", F.explode(F.expr("filter(__ps, (p, i) -> i = 0 or __ps[i - 1].w <> p.w)")).alias("__p"))
@@ -217,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, least_sha
             continue
         often = F.col(k) >= max(5, least_share * n)
         rare = (F.col("n") - F.col(k)) / float(rows - n) * 20 <= F.col(k) / float(n)
-        lexicons[k] = sorted(r[0] for r in counts.where(often & rare).orderBy(F.desc(k), "__w").limit(200).collect())
+        lexicons[k] = sorted(r[0] for r in counts.where(often & rare).select("__w").collect())
     frame = statistics(sample, lexicons, ["__id", "__y_low", "__y_toxic"]).select("__id", *(f"__y_{k}" for k in HEADS), *(f"__f_{f}" for f in NAMES)).orderBy("__id", *(f"__f_{f}" for f in NAMES)).toPandas()
     x = {f: frame[f"__f_{f}"].to_numpy(dtype=float) for f in NAMES}
     return Classifier(lexicons, {k: fit_rules(x, frame[f"__y_{k}"].to_numpy(dtype=int), seed=seed) for k in HEADS})
@@ -232,5 +235,5 @@ def good_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000) -> DataFrame:
     """The documents kept, with the columns of ``docs``."""
     model = fit(docs, labels, sample_rows)
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    packed = docs.select(packed_row(docs), "text")
     return model.scored(packed, ["__row"]).where("__good").select("__row.*")

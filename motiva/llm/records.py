@@ -11,7 +11,7 @@ reads in any order, for instance shuffled, by seeking to offsets, and checks bot
 
 Text is encoded with a public byte-level BPE vocabulary, whose path is a parameter. Encoding a text is encoding its pieces:
 a single space between two other characters always starts a pre-token, so texts are cut there and each distinct piece of a
-slice is encoded once.
+slice is encoded once. An id takes two bytes if the vocabulary and the end-of-text id allow it, else four.
 
 Defined cases: a null text has no record; an empty one has a record whose only id is the end-of-text id; a null doc_id is
 written as -2**63 and read back as null; repeated rows have a record each; a text of any length is one record; other columns
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import struct
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +131,11 @@ def encoding(path: str):
     return _encodings[path]
 
 
+def id_type(widths: np.ndarray, end: int) -> np.dtype:
+    """Of the ids of a vocabulary of ``widths``, and of ``end``."""
+    return np.dtype("<u2") if max(len(widths) - 1, end) < 2**16 else np.dtype("<u4")
+
+
 def _cuts(raw: np.ndarray) -> np.ndarray:
     """Where a single space stands between two characters that surely aren't white space."""
     at = np.flatnonzero(raw == 32)
@@ -147,7 +153,7 @@ def encode(raw: np.ndarray, offsets: np.ndarray, enc, widths: np.ndarray) -> tup
     cuts = _cuts(raw)
     starts = distinct(np.concatenate([offsets[:-1][np.diff(offsets) > 0], cuts]))
     if not len(starts):
-        return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
     ends = np.append(starts[1:], len(raw))
     h = span_hash(raw, starts, ends)
     order = np.argsort(h)
@@ -161,11 +167,11 @@ def encode(raw: np.ndarray, offsets: np.ndarray, enc, widths: np.ndarray) -> tup
     plain = at_cut[a] & at_cut[b]
     one, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
     size = np.zeros(len(a), dtype=np.int64)
-    flat = enc.encode_to_numpy(raw[_ranges(a[one], b[one])].tobytes().decode("utf-8")).astype(np.uint16)
+    flat = enc.encode_to_numpy(raw[_ranges(a[one], b[one])].tobytes().decode("utf-8")).astype(np.uint32)
     size[one] = np.diff(np.searchsorted(np.cumsum(widths[flat]), np.cumsum(b[one] - a[one])) + 1, prepend=0)
     others = enc.encode_ordinary_batch([raw[x:y].tobytes().decode("utf-8") for x, y in zip(a[rest].tolist(), b[rest].tolist())], num_threads=1)
     size[rest] = [len(x) for x in others]
-    flat = np.concatenate([flat, np.fromiter((t for x in others for t in x), dtype=np.uint16)])
+    flat = np.concatenate([flat, np.fromiter((t for x in others for t in x), dtype=np.uint32)])
     at = np.empty(len(a), dtype=np.int64)
     at[np.concatenate([one, rest])] = np.cumsum(size[np.concatenate([one, rest])]) - size[np.concatenate([one, rest])]
     count = size[back]
@@ -174,25 +180,25 @@ def encode(raw: np.ndarray, offsets: np.ndarray, enc, widths: np.ndarray) -> tup
     return out, np.diff(total[np.searchsorted(starts, offsets)])
 
 
-def frames(ids: np.ndarray, tokens: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of the records, length of each payload): documents ``ids`` with ``counts`` of ``tokens`` each, and ``end`` after them."""
-    payload = HEAD.size + 2 * (counts + 1)
+def frames(ids: np.ndarray, tokens: np.ndarray, counts: np.ndarray, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the records, length of each payload): documents ``ids`` with ``counts`` of ``tokens`` each, and ``end`` after them, as numbers of type ``kind``."""
+    width = kind.itemsize
+    payload = HEAD.size + width * (counts + 1)
     size = payload + 16
     at = np.cumsum(size) - size
     raw = np.zeros(int(size.sum()), dtype=np.uint8)
 
     def put(where: np.ndarray, values: np.ndarray) -> None:
-        width = values.itemsize
-        raw[(where[:, None] + np.arange(width)).ravel()] = values.view(np.uint8).ravel()
+        raw[(where[:, None] + np.arange(values.itemsize)).ravel()] = values.view(np.uint8).ravel()
 
     put(at, payload.astype("<u8"))
     put(at + 8, masked(crc32c(raw, at, at + 8)).astype("<u4"))
     put(at + 12, ids.astype("<i8"))
     put(at + 20, (counts + 1).astype("<u4"))
-    put(at + 24, np.full(len(ids), 2, dtype="<u4"))
+    put(at + 24, np.full(len(ids), width, dtype="<u4"))
     start = at + 28
-    put(np.repeat(start - 2 * (np.cumsum(counts) - counts), counts) + 2 * np.arange(int(counts.sum())), tokens.astype("<u2"))
-    put(start + 2 * counts, np.full(len(ids), end, dtype="<u2"))
+    put(np.repeat(start - width * (np.cumsum(counts) - counts), counts) + width * np.arange(int(counts.sum())), tokens.astype(kind))
+    put(start + width * counts, np.full(len(ids), end, dtype=kind))
     put(at + 12 + payload, masked(crc32c(raw, at + 12, at + 12 + payload)).astype("<u4"))
     return raw, payload
 
@@ -201,13 +207,14 @@ def _write(folder: str, vocabulary: str, end: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (enc, widths), task = encoding(vocabulary), TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
+        kind = id_type(widths, end)
         name, file, written, shard = "", None, 0, 0
         try:
             for batch in batches:
                 ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 for i, j, raw, offsets in slices(batch, "text", min(3 << 20, shard_bytes)):
                     tokens, counts = encode(raw, offsets, enc, widths)
-                    data, payload = frames(ids[i:j], tokens, counts, end)
+                    data, payload = frames(ids[i:j], tokens, counts, end, kind)
                     if file is None or written >= shard_bytes:
                         if file is not None:
                             file.close()
@@ -258,21 +265,28 @@ def parse(data: bytes) -> tuple[int | None, np.ndarray]:
     return (None if doc_id == NO_ID else doc_id), ids
 
 
+OPEN_FILES = 64
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: tuple[str, pa.NativeFile] | None = None
-    for batch in batches:
-        rows = []
-        for shard, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if held is None or held[0] != shard:
-                if held is not None:
-                    held[1].close()
-                store, path = fs.FileSystem.from_uri(shard)
-                held = (shard, store.open_input_file(path))
-            doc_id, ids = parse(held[1].read_at(length + 16, offset))
-            rows.append((doc_id, ids.tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "ids"])
-    if held is not None:
-        held[1].close()
+    held: OrderedDict[str, pa.NativeFile] = OrderedDict()  # the files last read, so that a shuffled order doesn't open one again for each record
+    try:
+        for batch in batches:
+            rows = []
+            for shard, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if shard in held:
+                    held.move_to_end(shard)
+                else:
+                    if len(held) >= OPEN_FILES:
+                        held.popitem(last=False)[1].close()
+                    store, path = fs.FileSystem.from_uri(shard)
+                    held[shard] = store.open_input_file(path)
+                doc_id, ids = parse(held[shard].read_at(length + 16, offset))
+                rows.append((doc_id, ids.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    finally:
+        for file in held.values():
+            file.close()
 
 
 def read_records(index: DataFrame, seed: int | None = None) -> DataFrame:

@@ -177,24 +177,29 @@ def redact(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            k = part.schema.get_field_index("text")
-            old = part.column(k).to_pylist()
-            new = [redact(t) for t in old]
-            if any(x is not y for x, y in zip(old, new)):
-                columns = list(part.columns)
-                columns[k] = pa.array(new, part.schema.field(k).type)
-                c = part.schema.get_field_index("n_chars")
-                if c >= 0:
-                    counts = part.column(c).to_pylist()
-                    columns[c] = pa.array([n if x is y else len(y) for n, x, y in zip(counts, old, new)], part.schema.field(c).type)
-                part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
-            yield part
+def _redact(text: int, chars: int | None):
+    """``text`` and ``chars``: places of these columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                old = part.column(text).to_pylist()
+                new = [redact(t) for t in old]
+                if any(x is not y for x, y in zip(old, new)):
+                    columns = list(part.columns)
+                    columns[text] = pa.array(new, part.schema.field(text).type)
+                    if chars is not None:
+                        counts = part.column(chars).to_pylist()
+                        columns[chars] = pa.array([n if x is y else len(y) for n, x, y in zip(counts, old, new)], part.schema.field(chars).type)
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                yield part
+
+    return run
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret in the column text replaced by the name of its rule in brackets, and n_chars, if there is such a column, counted again where the text changed."""
-    return docs.mapInArrow(_redact, docs.schema)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names of any characters
+    return plain.mapInArrow(_redact(names.index("text"), names.index("n_chars") if "n_chars" in names else None), plain.schema).toDF(*names)

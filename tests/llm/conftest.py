@@ -1,7 +1,7 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
-CLASH = ["__doc", "__source", "__tokens", "__key", "__bucket", "__finish", "__row", "__t", "__words", "__good", "w", "words", "hi", "lo", "sig", "grams", "path", "kind", "seed", "place", "rep", "left", "n", "count", "group", "quality", "id", "v", "shard", "segment"]
+CLASH = ["__doc", "__source", "__tokens", "__key", "__bucket", "__finish", "__row", "__t", "__words", "__good", "w", "words", "hi", "lo", "sig", "grams", "path", "kind", "seed", "place", "rep", "left", "n", "count", "group", "quality", "id", "v", "shard", "segment", "a.b", "c`d e", "slice", "path_hash", "c0", "p", "__id", "__n"]
 
 
 @pytest.fixture(scope="session")

@@ -196,27 +196,56 @@ def test_secrets_of_other_forms():
 
 def test_lm_scores(docs):
     rows = [(r.doc_id, WORD.findall(r.text.lower())) for r in docs.collect()]
-    one, two = Counter(w for _, ws in rows for w in ws), Counter(p for _, ws in rows for p in zip(ws, ws[1:]))
-    total, seen = sum(one.values()), len(one)
-    about = lambda c: float(lm.middle(lm.levels_of(np.array([c]), 1.5), 1.5)[0])
-    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
-    for d, ws in rows:
+    counts = Counter(tuple(ws[i : i + n]) for _, ws in rows for n in (1, 2, 3, 4) for i in range(len(ws) - n + 1))
+    total, seen = sum(len(ws) for _, ws in rows), len({w for _, ws in rows for w in ws})
+    ranges = [(a, b) for n in range(1, 60) if (a := math.ceil(1.5 ** (n - 1))) <= (b := math.ceil(1.5**n) - 1)]
+    about = {0: 0.0} | {c: (a + b) / 2 for c in {n - 1 for n in counts.values()} for a, b in ranges if a <= c <= b}
+    others = lambda gram: about[counts[gram] - 1]
+
+    def score(ws, order, weights):
         s = 0.0
         for i, w in enumerate(ws):
-            p = (about(one[w]) + 0.5) / (total + 0.5 * (seen + 1))
-            if i:
-                c = about(two[ws[i - 1], w])
-                p = 0.7 * min(1.0, c / max(about(one[ws[i - 1]]), c, 1.0)) + 0.3 * p
+            p = (others((w,)) + 0.5) / (total - 1 + 0.5 * (seen + 1))
+            for n in range(2, min(order, i + 1) + 1):
+                c, before = others(tuple(ws[i - n + 1 : i + 1])), others(tuple(ws[i - n + 1 : i]))
+                if before:
+                    p = weights[n - 2] * min(1.0, c / max(before, c)) + (1 - weights[n - 2]) * p
             s += math.log(p)
-        assert got[d].n_words == len(ws) and abs(got[d].log_prob - s) <= 0.08 * max(len(ws), 10)
+        return s
+
+    for order, weights, want in ((3, (0.7, 0.7), (0.7, 0.7)), (4, (0.6,), (0.6, 0.6, 0.6)), (1, (), ())):
+        got = {r.doc_id: r for r in lm.lm_scores(docs, order=order, weights=weights).collect()}
+        off = [abs(got[d].log_prob - score(ws, order, want)) / max(len(ws), 10) for d, ws in rows]
+        assert all(got[d].n_words == len(ws) for d, ws in rows)
+        assert np.mean([x <= 0.08 for x in off]) >= 0.97 and max(off) < 0.5  # a false positive of the filter raises one word's probability
+    got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
     assert all(abs(r.log_prob - got[r.doc_id].log_prob) < 1e-6 for r in lm.lm_scores(docs, broadcast_bytes=0).collect())
 
 
+def test_a_second_copy_scores_apart(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.where("lang = 'en' and n_chars > 600").collect()]
+    rng = random.Random(8)
+    new = [" ".join(f"n{rng.randrange(3000)}" for _ in range(120)) for _ in range(40)]
+    df = spark.createDataFrame(rows + [(10_000 + i, t) for i, t in enumerate(new)] + [(20_000 + i, t) for i, t in enumerate(new[:20])], "doc_id long, text string")
+    got = {r.doc_id: r.perplexity for r in lm.lm_scores(df).collect()}
+    assert max(got[10_000 + i] for i in range(20)) < min(got[10_000 + i] for i in range(20, 40)) / 5
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for kind in (np.uint64, np.uint32):
+        x = np.sort(rng.integers(0, np.iinfo(kind).max, 1000, dtype=kind))
+        assert (lm.unpacked(lm.packed(x), kind) == x).all()
+    x = np.array([5, 1, 2**32 - 1, 1], dtype=np.uint32)
+    assert (lm.unpacked(lm.packed(x), np.uint32) == x).all()
+
+
 def test_filter_levels():
     rng = np.random.default_rng(3)
     k = rng.integers(1, 2**63, 20_000).astype(np.uint64)
     q = rng.integers(1, 9, 20_000)
-    f = lm.Filter({0: lm.build(k, q).tobytes()}, 1)
+    data = lm.build(k, q).tobytes()
+    f = lm.Filter([(0, data)], 1, len(data))
     found = f.levels(k)
     assert (found >= q).all() and (found > q).mean() < 0.05
     assert (f.levels(rng.integers(1, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
@@ -410,6 +439,19 @@ def test_records_round_trip(spark, docs, tmp_path):
         records.parse(bytes(data))
 
 
+def test_width_of_ids(tmp_path):
+    import base64
+
+    path = tmp_path / "large.tiktoken"
+    words = [bytes([i]) for i in range(256)] + [f" w{i}".encode() for i in range(70_000)]
+    path.write_bytes(b"".join(base64.b64encode(w) + b" %d\n" % i for i, w in enumerate(words)))
+    _, widths = records.encoding(str(path))
+    kind = records.id_type(widths, 5)
+    raw, length = records.frames(np.array([7, 8]), np.array([70_100, 1, 66_000]), np.array([2, 1]), 70_200, kind)
+    assert records.id_type(np.zeros(65_536), 65_535).itemsize == 2 and kind.itemsize == 4
+    assert [records.parse(raw[a : a + n + 16].tobytes())[1].tolist() for a, n in ((0, length[0]), (length[0] + 16, length[1]))] == [[70_100, 1, 70_200], [66_000, 70_200]]
+
+
 def test_encoding_is_that_of_whole_texts():
     import pyarrow as pa
 
@@ -423,6 +465,15 @@ def test_encoding_is_that_of_whole_texts():
         assert ids.tolist() == [x for t in texts for x in enc.encode_ordinary(t)] and counts.tolist() == [len(enc.encode_ordinary(t)) for t in texts]
 
 
+def test_near_duplicates_keep_distinct_texts(spark, sf):
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b + " end"), (3, c), (3, c), (None, c), (4, None), (4, ""), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, cp.near_duplicates(spark, docs, sf).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (3, c), (None, c), (4, None), (4, "")], key=str)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = cp.near_duplicates(spark, docs, sf)
