@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents of good quality, one of each group of near duplicates, without secrets, mixed to target weights, packed into windows."""
+"""The corpus pipeline: documents of good quality, one of each group of near duplicates, without secrets, mixed to target weights, packed into windows.
+
+Each stage takes documents (doc_id, text, source and any other columns, whatever their names) and, but for the last, returns
+such. Texts are whole in every stage, however long, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -20,33 +24,57 @@ BUDGET = 0.9
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, fitted on the table ``labels``, keeps.
+
+    Rows without any word (null, empty or blank text) go; a null doc_id is judged like any; of repeated rows each is judged.
+    """
     return keep_good(docs, table(ship(spark), sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that near duplicates connect, the document with the smallest doc_id stays; of rows that share a doc_id, one."""
+    """Of each group that near duplicates connect, the document with the smallest doc_id stays, and of texts that share a doc_id
+    the one with the least SHA-1, once.
+
+    A row with a null doc_id, or without any word, is no duplicate and stays; different texts of one doc_id are documents
+    of their own; of rows equal in both one stays.
+    """
     ship(spark)
-    edges = ngram_jaccard_join(docs, forest=True)
-    drop = connected(edges).where("doc_id <> `group`").select("doc_id")
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    own, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    shared = cut(plain.where(f"{own} is not null").groupBy(own).count().where("count > 1").select(own))
+    if shared.isEmpty():
+        keyed = plain.withColumn("key", F.col(own).cast("long"))
+    else:
+        keyed = cut(plain.withColumn("key", F.when(F.col(own).isNotNull(), F.monotonically_increasing_id())))
+    groups = connected(ngram_jaccard_join(keyed.select(F.col("key").alias("doc_id"), F.col(text).alias("text")), forest=True))
+    if shared.isEmpty():
+        drop = groups.where("doc_id <> `group`").select(F.col("doc_id").alias("key"))
+    else:
+        order = F.struct(own, F.sha1(F.col(text)), "key")
+        least = keyed.join(groups.select(F.col("doc_id").alias("key"), "group"), "key").groupBy("group").agg(F.min(order).alias("least"))
+        drop = groups.join(least.select("group", F.col("least.key").alias("stays")), "group").where("doc_id <> stays").select(F.col("doc_id").alias("key"))
+    return keyed.join(drop, "key", "left_anti").select(*plain.columns).toDF(*names)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by the names of their rules; a null text stays null, repeated rows stay repeated."""
     ship(spark)
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that come first by virtual finish time, up to BUDGET of all tokens.
+
+    A null source is the source ''; a null or blank text has no token and comes at its source's time; ties are ordered by
+    source, hash of doc_id, doc_id and tokens; repeated rows each take their part.
+    """
     ship(spark)
     return mix_documents(docs, WEIGHTS, budget_share=BUDGET, other=OTHER)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of the documents' tokens. A null or blank text is in none, a null doc_id stays null, repeated rows are packed each."""
     ship(spark)
     return pack(docs)
 

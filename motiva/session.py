@@ -11,24 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as set in ``spark.checkpoint.dir``; a local one only where none is set."""
+    """The folder all executors share, as set in ``spark.checkpoint.dir``; a new local one only where none is set and all executors are on this machine."""
     sc = spark.sparkContext
     d = sc._jsc.sc().getCheckpointDir()
     if d.isDefined():
         return d.get()
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(conf or "file://" + tempfile.mkdtemp(prefix="motiva-"))
+    if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        conf = "file://" + tempfile.mkdtemp(prefix="motiva-")
+    sc.setCheckpointDir(conf)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: lineage ends here, and no part of it is lost with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/motiva-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Removes the tables that ``cut`` has written in this process; for when no DataFrame that reads them is needed any more. Says how many."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors, once per context."""
     sc = spark.sparkContext
