@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_dir
 
-__all__ = ["cut", "distinct", "hash_words", "input_bytes", "longs", "mix", "ngrams", "packed_row", "ragged", "shared_dir", "slices", "small", "span_hash", "table", "words_col"]
+__all__ = ["cut", "distinct", "hash_words", "input_bytes", "longs", "mix", "ngrams", "packed_row", "powers", "ragged", "shared_dir", "slices", "small", "span_hash", "table", "words_col"]
 SLICE_BYTES = 1 << 20
 
 
@@ -71,7 +71,7 @@ _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(or
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INV)):
             p = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
@@ -90,7 +90,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each bytes[start:end]: differences of one running polynomial sum modulo 2**64."""
-    p, q = _pow(len(raw) + 1)
+    p, q = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * p[: len(raw)], out=total[1:])
     h = (total[ends] - total[starts]) * q[starts]

@@ -347,9 +347,9 @@ def test_shared_passages(spark, docs):
     got = substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     spans = defaultdict(list)
     for r in got:
-        assert r.end_a - r.start_a >= 50 and r.end_b - r.start_b >= 50 and r.identity >= 0.75 and r.doc_a < r.doc_b
-        spans[r.doc_a].append((r.start_a, r.end_a))
-        spans[r.doc_b].append((r.start_b, r.end_b))
+        assert r.span_a.end - r.span_a.start >= 50 and r.span_b.end - r.span_b.start >= 50 and r.identity >= 0.75 and r.doc_a < r.doc_b
+        spans[r.doc_a].append(tuple(r.span_a))
+        spans[r.doc_b].append(tuple(r.span_b))
     words = {d: WORD.findall(t.lower()) for d, t in rows}
     for i in range(12):
         at = words[5000 + i].index(f"own{i}") + 1
@@ -400,12 +400,108 @@ def test_passages_with_one_seed(spark):
     far = [w if i % 5 else f"y{i}" for i, w in enumerate(run)]
     far[200], far[205] = run[200], run[205]
     rows = [(0, " ".join(["a"] * 40 + run + ["b"] * 40)), (1, " ".join(["c"] * 40 + far + ["d"] * 40))]
-    spans = [(r.start_a, r.end_a) for r in substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    spans = [tuple(r.span_a) for r in substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert any(s <= 45 and e >= 435 for s, e in spans)
     x, y = np.array([0, 50, 5]), np.array([10, 60, 12])
     assert sorted(np.concatenate(substrings.chains(x, y, 6.0, 24)).tolist()) == [0, 1, 2]
 
 
+def covered(spark, rows, **kw):
+    """Places of each document that lie in a passage; of the runs of 50 words that documents share, none may be outside."""
+    got, spans = substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect(), defaultdict(set)
+    for r in got:
+        spans[r.doc_a] |= set(range(*r.span_a))
+        spans[r.doc_b] |= set(range(*r.span_b))
+    words, runs = {d: WORD.findall(t.lower()) for d, t in rows}, defaultdict(set)
+    for d, w in words.items():
+        for i in range(len(w) - 49):
+            runs[tuple(w[i : i + 50])].add((d, i))
+    for places in runs.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                assert spans[d] >= set(range(i, i + 50)), (d, i)
+    return {(r.doc_a, r.doc_b) for r in got}
+
+
+@pytest.mark.parametrize("holders", [1, 30])
+def test_passages_among_pieces_of_them(spark, holders):
+    """Two documents hold a passage whole, others pieces of it under 50 words, or of just 50, at places apart."""
+    rng, rows = random.Random(9), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    some = lambda n: [word() for _ in range(n)]
+    passage = some(106)
+    for k in range(holders):
+        for piece in (22, 35, 50):
+            parts = [x for s in range(0, 106 - piece + 1, 7) for x in (*passage[s : s + piece], *some(9))]
+            rows.append((10 * k + piece, " ".join(parts)))
+    rows += [(1000 + i, " ".join([*some(40), *passage, *some(40)])) for i in range(3)]
+    pairs = covered(spark, rows)
+    if holders == 1:
+        assert {(1000, 1001), (1000, 1002), (1001, 1002)} <= pairs
+
+
+def test_hot_passages_are_found_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 50)
+    rng = random.Random(10)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    long, line = some(75), some(14)
+    rows = [(i, " ".join([*some(30 + i % 7), *long, *some(9), *line, *some(30)])) for i in range(120)]
+    rows += [(500 + i, " ".join([*some(60), *line, *some(40)])) for i in range(200)]
+    pairs = covered(spark, rows)
+    assert {d for p in pairs for d in p} == set(range(120))
+
+
+def test_matches_of_seeds(monkeypatch):
+    """All pairs of seeds with few rows, stars of the others, whatever batches they come in."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "PIECE", 7)
+    rng = random.Random(11)
+    rows = sorted({(s, rng.randrange(40), rng.randrange(5)) for s, n in ((1, 3), (2, 60), (3, 1), (4, 5), (5, 90), (6, 2)) for _ in range(n)})
+    for size in (1, 2, 5, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), (pa.int64(), pa.int64(), pa.int32()))], names=["seed", "doc", "place"]) for i in range(0, len(rows), size)]
+        got = [r for b in substrings._match(6, 1, True)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        want, hot = set(), set()
+        for s in range(1, 7):
+            own = [r[1:] for r in rows if r[0] == s]
+            hot |= {(s, *r) for r in own} if len(own) > 6 else set()
+            want |= {(*b, *a) for b in own for a in (own[:1] if len(own) > 6 else own) if a[0] < b[0]}
+        assert {r[1:] for r in got if r[3] is not None} == want and {r[:3] for r in got if r[3] is None} == hot
+
+
+def local_alignment(a, b):
+    """(words of a, words of b, equal words) of the best local alignment: 1 for equal words, -1.5 for each other column."""
+    best, old = (0.0, 0, 0, 0), [(0.0, 0, 0, 0)] * (len(b) + 1)
+    for x in a:
+        new = [(0.0, 0, 0, 0)]
+        for j, y in enumerate(b):
+            d, u, v = old[j], old[j + 1], new[j]
+            new.append(max((d[0] + (1 if x == y else -1.5), d[1] + 1, d[2] + 1, d[3] + (x == y)), (u[0] - 1.5, u[1] + 1, u[2], u[3]), (v[0] - 1.5, v[1], v[2] + 1, v[3]), (0.0, 0, 0, 0)))
+            best = max(best, new[-1])
+        old = new
+    return best[1:]
+
+
+def test_recall_of_edited_passages_against_alignment(spark):
+    rng, rows, want = random.Random(12), [], set()
+    word = lambda: f"w{rng.randrange(50_000)}"
+    for i in range(240):
+        size, rate = rng.randrange(50, 120), rng.choice([0.05, 0.1, 0.15, 0.2, 0.25])
+        own, new = [word() for _ in range(size)], []
+        for w in own:
+            if rng.random() >= rate:
+                new.append(w)
+            else:
+                new += rng.choice([[], [word()], [word()], [w, word()]])
+        both = [[*(word() for _ in range(30)), *middle, *(word() for _ in range(30))] for middle in (own, new)]
+        rows += [(2 * i + k, " ".join(x)) for k, x in enumerate(both)]
+        na, nb, equal = local_alignment(*both)
+        if min(na, nb) >= 50 and equal / max(na, nb) >= 0.75:
+            want.add(i)
+    found = found_edited(spark, rows)
+    assert len(want) > 100 and len(found & want) >= 0.9 * len(want)
+
+
 def crc_slow(data):
     c = 0xFFFFFFFF
     for b in data:
