@@ -5,6 +5,10 @@ for every vector proposes the vertices it visits as neighbours, and relaxed prun
 no kept one is nearer to by the factor ``alpha``; edges are put in both ways and pruned again where a vertex has too many.
 Every vector is a query: a beam search goes through each shard's graph, and the nearest of all shards are the answer.
 
+There are as many shards as the cluster has task slots, so that each is built by a task of its own, and more only where a
+shard would have over ``shard_rows`` vectors: searches cost about as much in a large graph as in a small one, and their number
+grows with vectors times shards.
+
 Equal vectors of a shard share one vertex and come back together. Ties are ordered by id. A vector is no neighbour of its own
 id.
 
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK = 256
+LEAST_ROWS = 1024  # of a shard, before there is one for each task slot
 
 
 def search(v: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int, width: int = 4, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -133,15 +138,19 @@ def build(v: np.ndarray, degree: int, beam: int, alpha: float, seed: int) -> tup
 
 
 def _graphs(degree: int, beam: int, alpha: float):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids = rows.column("id").to_numpy()
-        x = np.stack(rows.column("v").to_pylist()).astype(np.float32)
+    """All rows (id, v, shard) of a task are of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy().astype(np.float32).reshape(b.num_rows, -1), b.column(2)[0]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         by = np.argsort(ids)
         ids, x = ids[by], x[by]
         v, back = np.unique(x, axis=0, return_inverse=True)
         graph, start = build(v, degree, beam, alpha, 6)
         blobs = [v.tobytes(), graph.astype(np.int32).tobytes(), ids.tobytes(), back.reshape(-1).astype(np.int32).tobytes()]
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([0], pa.int32()), "start": pa.array([start], pa.int32()), **{c: pa.array([b], pa.binary()) for c, b in zip("abcd", blobs)}})
+        yield pa.RecordBatch.from_arrays([pa.array([parts[0][2].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([start], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)], names=["shard", "kind", "start", *"abcd"])
 
     return run
 
@@ -154,7 +163,7 @@ def _blocks(rows_each: int):
         for batch in batches:
             for at in range(0, batch.num_rows, rows_each):
                 part = batch.slice(at, rows_each)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([np.stack(part.column(1).to_pylist()).astype(np.float32).tobytes()], pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([part.column(1).flatten().to_numpy().astype(np.float32).tobytes()], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -189,8 +198,9 @@ def _search(dim: int, degree: int, beam: int, k: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", shard_rows: int = 4096, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): for every vector the ``k`` nearest others by Euclidean distance, as far as the searches find them."""
+def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", shard_rows: int = 1 << 17, shards: int | None = None, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): for every vector the ``k`` nearest others by Euclidean distance, as far as the searches
+    find them. ``shards``: how many, if not by ``shard_rows``."""
     v = F.transform(F.col(column), lambda x: x.cast("float"))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity'))")
     top = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
@@ -199,10 +209,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id
         return vectors.sparkSession.createDataFrame([], none)
     dim = top[0]
     one = cut(rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")))
-    shards = max(1, math.ceil(one.count() / shard_rows))
-    graphs = one.withColumn("shard", F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)")).repartition(shards, "shard").groupBy("shard").applyInArrow(_graphs(degree, beam, alpha), PARTS)
+    count = one.count()
+    if shards is None:
+        shards = max(1, math.ceil(count / shard_rows), min(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(count / LEAST_ROWS)))
+    dealt = one.withColumn("shard", F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)")).repartitionById(shards, "shard")
+    graphs = cut(dealt.mapInArrow(_graphs(degree, beam, alpha), PARTS))
     null = F.lit(None).cast("binary")
     queries = one.mapInArrow(_blocks(1024), "a binary, b binary").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("start"), "a", "b", null.alias("c"), null.alias("d"))
-    found = graphs.unionByName(queries).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(dim, degree, beam, k), "id long, near array<struct<d:double,i:long>>")
+    found = graphs.unionByName(queries).repartitionById(shards, "shard").sortWithinPartitions("kind").mapInArrow(_search(dim, degree, beam, k), "id long, near array<struct<d:double,i:long>>")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("p", "n")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("n.i").alias("neighbor_id"), F.sqrt("n.d").alias("distance"))

@@ -86,6 +86,8 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r)[:3] for r in nearest_neighbours(df, k=5).collect())
     assert got == [(1, 1, 2), (1, 2, 6), (2, 1, 6), (2, 2, 1), (6, 1, 2), (6, 2, 1)]
+    clash = df.selectExpr("*", "'x' as id", "'x' as v", "'x' as shard", "'x' as kind", "'x' as a", "'x' as near", "'x' as `d.e`")
+    assert got == sorted(tuple(r)[:3] for r in nearest_neighbours(clash, k=5, shards=2).collect())
     assert nearest_neighbours(df.where("false")).count() == 0 and nearest_neighbours(df.where("vec_id = 3")).count() == 0
 
 

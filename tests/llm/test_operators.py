@@ -302,8 +302,8 @@ def test_head_and_captions_without_media():
     assert texts("<figure><pre>code</pre><figcaption>Listing") == ["code", "Listing"]
 
 
-@pytest.mark.parametrize("shard_rows", [150, 4096])
-def test_vectors_find_their_neighbours(spark, shard_rows):
+@pytest.mark.parametrize("shards", [1, 5, None])
+def test_vectors_find_their_neighbours(spark, shards):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = df.collect()
     x, ids = np.array([r.embedding for r in rows], dtype=np.float64), np.array([r.vec_id for r in rows])
@@ -311,7 +311,7 @@ def test_vectors_find_their_neighbours(spark, shard_rows):
     np.fill_diagonal(d, np.inf)
     want = {i: set(ids[np.argsort(r, kind="stable")[:10]]) for i, r in zip(ids, d)}
     got = defaultdict(set)
-    for r in vectors.nearest_neighbours(df, shard_rows=shard_rows).collect():
+    for r in vectors.nearest_neighbours(df, shards=shards).collect():
         got[r.vec_id].add(r.neighbor_id)
     assert np.mean([len(want[i] & got[i]) / 10 for i in want]) >= 0.97
 
