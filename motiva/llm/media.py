@@ -3,8 +3,12 @@
 Parsing a page gives, in order of the page, structs of text and of media references: images, video, audio, embedded objects
 and frames, each with its caption (figcaption, else alt, title or aria-label). A reference has a digest: SHA-256 of its
 bytes where the page carries them in a data: URI, and of its absolute URL elsewhere. Payloads are resolved by joining
-digests: with what pages carry themselves, and with a store of payloads by digest. The join carries references only; it
-touches neither texts nor positions, so these stay aligned.
+digests: with what pages carry themselves, and with a store of payloads by digest. The join carries references only, each
+digest of a page once; it touches neither texts nor positions, so these stay aligned.
+
+Pages that may have references, by their tags, are parsed for these first; what they resolve to is joined to the pages by a
+hash of their content, and the pages are parsed again and filled in. That is cheaper than to write and shuffle what the first
+parse gives. Pages without such tags are parsed once, where they are.
 
 Defined cases: a null or empty html gives an empty sequence; broken markup is read as browsers would at least as far as text
 goes; script, style, template and noscript are skipped, as are navigation and footers if asked; a head
@@ -173,36 +177,80 @@ def sequence(html: str | None, url: str | None, skip: frozenset[str] = SKIP) ->
     return [{"position": k, **s} for k, s in enumerate(parser.out)], parser.inline
 
 
-INLINE = pa.list_(pa.struct([("digest", pa.string()), ("mime", pa.string()), ("payload", pa.binary())]))
+REFERENCE = "key string, digest string, held boolean, mime string, payload binary"
+RESULT = f"page_id long, url string, segments array<struct<{SEGMENT.replace(' ', ':').replace(',:', ',')},mime:string,payload:binary>>, n_media int, n_resolved int"
+FULL = pa.list_(pa.struct([*KIND.value_type, ("mime", pa.string()), ("payload", pa.binary())]))
+BATCH_BYTES = 8 << 20
+
 
+def _references(skip: frozenset[str]):
+    """Rows (key, url, html): each digest that a page refers to, once, and each payload that the pages of a batch carry, once."""
 
-def _parse(skip: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["key", "digest", "held", "mime", "payload"], (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [sequence(h, u, skip) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                inline = [[dict(zip(("digest", "mime", "payload"), x)) for x in y] for _, y in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s for s, _ in found], KIND), pa.array(inline, INLINE)], names=["page_id", "url", "segments", "inline"])
+            seen: set[tuple[str, str, bytes]] = set()
+            rows, size = [], 0
+            for key, url, html in zip(batch.column(0), batch.column(1), batch.column(2)):
+                found, inline = sequence(html.as_py(), url.as_py(), skip)
+                rows += [(key.as_py(), d, False, None, None) for d in {s["digest"] for s in found if s["kind"] != "text"}]
+                for x in inline:
+                    if x not in seen:
+                        seen.add(x)
+                        rows.append((None, x[0], True, *x[1:]))
+                        size += len(x[2])
+                if size > BATCH_BYTES or len(rows) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
+def _fill(skip: frozenset[str]):
+    """Rows (page_id, url, html, got) with got: (digest, mime, payload) of what the page's references resolve to, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, rows, size = 0, [], 0
+            for i in range(batch.num_rows):
+                html = batch.column(2)[i].as_py()
+                found, _ = sequence(html, batch.column(1)[i].as_py(), skip)
+                got = {g["digest"]: g for g in batch.column(3)[i].as_py() or ()}
+                media = [s for s in found if s["kind"] != "text"]
+                for s in media:
+                    if (g := got.get(s["digest"])) is not None:
+                        s["mime"], s["payload"] = g["mime"], g["payload"]
+                        size += len(g["payload"] or b"")
+                rows.append((found, len(media), sum(s["digest"] in got for s in media)))
+                size += len(html or "")
+                if size > BATCH_BYTES or i + 1 == batch.num_rows:
+                    s, n, r = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), batch.column(1).slice(first, len(rows)), pa.array(s, FULL), pa.array(n, pa.int32()), pa.array(r, pa.int32())], names=["page_id", "url", "segments", "n_media", "n_resolved"])
+                    first, rows, size = i + 1, [], 0
+
+    return run
+
+
+TAGS = "(?i)<(" + "|".join(MEDIA) + ")[^a-z]"
+
+
 def media_sequences(pages: DataFrame, store: DataFrame | None = None, skip_frame: bool = False) -> DataFrame:
     """(page_id, url, segments, n_media, n_resolved): segments have position, kind, text, tag, url, digest, caption, mime and
     payload. ``store``: (digest, mime, payload). ``skip_frame`` leaves navigation, asides and footers out."""
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = source.mapInArrow(_parse(SKIP | FRAME if skip_frame else SKIP), f"page_id long, url string, segments array<struct<{SEGMENT.replace(' ', ':').replace(',:', ',')}>>, inline array<struct<digest:string,mime:string,payload:binary>>")
-    parsed = cut(parsed.withColumn("__row", F.monotonically_increasing_id()))
-    refs = parsed.select("__row", F.explode(F.filter("segments", lambda s: s["kind"] != "text")).alias("s")).select("__row", "s.position", "s.digest")
-    held = parsed.select(F.explode("inline").alias("i")).select("i.*")
+    skip = SKIP | FRAME if skip_frame else SKIP
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    some = F.coalesce(F.col("html").rlike(TAGS), F.lit(False))
+    # Equal pages have equal references, so their key may be the same.
+    keyed = source.where(some).withColumn("key", F.sha2(F.concat(F.coalesce(F.col("url"), F.lit("\0")), F.lit("\0"), F.col("html")), 256))
+    refs = cut(keyed.select("key", "url", "html").mapInArrow(_references(skip), REFERENCE))
+    held = refs.where("held").select("digest", "mime", "payload")
     if store is not None:
         held = held.unionByName(store.where("digest is not null").select("digest", F.col("mime").cast("string").alias("mime"), "payload"))
-    payloads = held.groupBy("digest").agg(F.min(F.struct("payload", "mime")).alias("p")).select("digest", "p.mime", "p.payload")
-    resolved = refs.join(payloads, "digest").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("mime", "payload")))).alias("__got"))
-    some = F.exists("segments", lambda s: s["kind"] != "text")
-    got = resolved.schema["__got"].dataType
-    # Pages without references have nothing to resolve, so their texts stay where they are.
-    joined = parsed.where(some).join(resolved, "__row", "left").unionByName(parsed.where(~some).withColumn("__got", F.lit(None).cast(got)))
-    full = F.transform("segments", lambda s: F.struct(*(s[c].alias(c) for c in ("position", "kind", "text", "tag", "url", "digest", "caption")), F.try_element_at("__got", s["position"])["mime"].alias("mime"), F.try_element_at("__got", s["position"])["payload"].alias("payload")))
-    return joined.select("page_id", "url", full.alias("segments"), F.size(F.filter("segments", lambda s: s["kind"] != "text")).alias("n_media"), F.when(F.col("__got").isNull(), 0).otherwise(F.size("__got")).alias("n_resolved"))
+    asked = refs.where("not held").select("key", "digest").distinct()
+    payloads = held.join(asked.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("payload", "mime")).alias("p")).select("digest", "p.mime", "p.payload")
+    resolved = asked.join(payloads, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "mime", "payload")).alias("got"))
+    none = F.lit(None).cast(resolved.schema["got"].dataType)
+    joined = keyed.join(resolved, "key", "left").select("page_id", "url", "html", "got")
+    return joined.unionByName(source.where(~some).withColumn("got", none)).mapInArrow(_fill(skip), RESULT)

@@ -293,6 +293,42 @@ def test_media(spark):
     assert [bytes(s.payload) if s.payload else None for s in rows[1].segments] == [None, b"PNGDATA", None, b"J", None, None, None, None]
 
 
+def test_media_of_pages_with_references(spark):
+    """Against a plain loop: the references as regular expressions find them, resolved from a dictionary, positions counted by hand."""
+    import base64
+    import hashlib
+
+    rng, sha = random.Random(13), lambda b: hashlib.sha256(b).hexdigest()
+    blobs = [bytes([i]) * (50 + i) for i in range(12)]
+    store = {sha(f"http://h/{i}.png".encode()): ("image/png", bytes([i, 1])) for i in range(0, 60, 2)}
+    pages, want = [], {}
+    for p in range(300):
+        parts, segments = [], []
+        for _ in range(rng.randrange(0 if p % 5 else 1, 9)):
+            kind = rng.randrange(4) if p % 5 else 0
+            if kind == 0:
+                segments.append((f"t{len(segments)} of {p}", None, None, None))
+                parts.append(f"<p>{segments[-1][0]}</p>")
+            elif kind == 1:
+                b = rng.choice(blobs)
+                segments.append((None, sha(b), "image/gif", b))
+                parts.append(f"<IMG SRC='data:image/gif;base64,{base64.b64encode(b).decode()}'>")
+            else:
+                u = "http://h/logo.png" if kind == 2 else f"http://h/{rng.randrange(60)}.png"
+                segments.append((None, sha(u.encode()), *store.get(sha(u.encode()), (None, None))))
+                parts.append(f"<img src='{u}'>")
+        pages.append((p, "http://h/", "".join(parts)))
+        want[p] = segments
+    pages += [(p, u, h) for p, u, h in pages[:20]]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as key", "'x' as digest", "'x' as got", "'x' as `a.b`")
+    rows = media_sequences(df, spark.createDataFrame([(d, *x) for d, x in store.items()], "digest string, mime string, payload binary")).collect()
+    assert Counter(r.page_id for r in rows) == Counter(p[0] for p in pages)
+    for r in rows:
+        assert [s.position for s in r.segments] == list(range(len(want[r.page_id])))
+        assert [(s.text, s.digest, s.mime, None if s.payload is None else bytes(s.payload)) for s in r.segments] == want[r.page_id]
+        assert (r.n_media, r.n_resolved) == (sum(s[1] is not None for s in want[r.page_id]), sum(s[3] is not None for s in want[r.page_id]))
+
+
 def test_head_and_captions_without_media():
     texts = lambda html: [s["text"] or s["url"] for s in sequence(html, None)[0]]
     assert texts("<html><head><title>t</title><style>s</style><body><p>One<img src=a><p>two</html>") == ["One", "a", "two"]
