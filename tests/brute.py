@@ -1,16 +1,15 @@
-"""Solutions by trying all mappings."""
+"""Solutions by trying all mappings, with the rules spelled out here: nothing of the code under test but the class of graphs."""
 
-from itertools import permutations, product
+from itertools import combinations, permutations, product
 
 from motiva.graph import LocalGraph
-from motiva.plans.order import common_in_neighbour
 
 
 def solutions(p: LocalGraph, t: LocalGraph, injectivity: str = "injective", induced: bool = False, less=(), occurs_less=()) -> set[tuple[int, ...]]:
     out = set()
-    pairs = common_in_neighbour(p)
     for m in permutations(range(t.size), p.size) if injectivity == "injective" else product(range(t.size), repeat=p.size):
-        if injectivity == "locally_injective" and any(m[a] == m[b] for a, b in pairs):
+        # Locally injective: what one vertex has arcs to, itself included where it has a loop, has images that differ.
+        if injectivity == "locally_injective" and any(len({m[b] for b in near}) < len(near) for v in range(p.size) if (near := [b for b in range(p.size) if (v, b) in p.arcs])):
             continue
         if p.has_vertex_labels and any(p.labels[v] != t.labels[m[v]] for v in range(p.size)):
             continue
@@ -23,6 +22,4 @@ def solutions(p: LocalGraph, t: LocalGraph, injectivity: str = "injective", indu
 
 
 def cliques(g: LocalGraph, k: int) -> int:
-    from itertools import combinations
-
     return sum(all((a, b) in g.arcs for a, b in combinations(c, 2)) for c in combinations(range(g.size), k))
