@@ -34,15 +34,28 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/motiva-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._motiva_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``cut`` wrote for these tables: nothing that is still to be computed may read them."""
+    for df in tables:
+        _written.remove(df._motiva_path)
+        _remove(df.sparkSession, df._motiva_path)
 
 
 def sweep(spark: SparkSession) -> int:
     """Removes the tables that ``cut`` has written in this process; for when no DataFrame that reads them is needed any more. Says how many."""
     n = len(_written)
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, _written.pop())
     return n
 
 
