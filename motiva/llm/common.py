@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, discard, shared_dir
 
-__all__ = ["cut", "distinct", "hash_words", "input_bytes", "longs", "mix", "ngrams", "packed_row", "powers", "ragged", "shared_dir", "slices", "small", "span_hash", "table", "words_col"]
+__all__ = ["cut", "discard", "distinct", "hash_words", "input_bytes", "longs", "mix", "ngrams", "packed_row", "powers", "ragged", "shared_dir", "slices", "small", "span_hash", "table", "words_col"]
 SLICE_BYTES = 1 << 20
 
 

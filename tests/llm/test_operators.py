@@ -438,6 +438,8 @@ def test_passages_with_one_seed(spark):
     rows = [(0, " ".join(["a"] * 40 + run + ["b"] * 40)), (1, " ".join(["c"] * 40 + far + ["d"] * 40))]
     spans = [tuple(r.span_a) for r in substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert any(s <= 45 and e >= 435 for s, e in spans)
+    x, y = np.array([3, 8, 14, 21, 9]), np.array([1, 6, 12, 19, 6])
+    assert substrings.first_of_runs(x, y, 6).tolist() == [True, False, False, True, True]
     x, y = np.array([0, 50, 5]), np.array([10, 60, 12])
     assert sorted(np.concatenate(substrings.chains(x, y, 6.0, 24)).tolist()) == [0, 1, 2]
 
