@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, LocalGraph
+from ..graph import Graph, LocalGraph, UnsupportedConfiguration
 from ..session import ship
 
 
@@ -38,38 +41,97 @@ def cliques(t: Graph, k: int, edges: DataFrame | None = None) -> DataFrame:
     return level
 
 
-def largest(adjacent: list[int], above: int = 0) -> list[int]:
-    """A largest clique of more than ``above`` vertices, or [], of a graph as bit sets of neighbours: branch and bound, with a greedy colouring as the bound."""
-    best: list[int] = []
-    most = above
+ORDERS = ("colour", "singletons", "sorted")
+
+
+@dataclass
+class CliqueResult:
+    """``complete`` is False where time ran out: ``members`` are then the best so far."""
+
+    members: list[int]
+    nodes: int = 0
+    complete: bool = True
+
+    @property
+    def size(self) -> int:
+        return len(self.members)
+
 
-    def expand(chosen: list[int], left: int) -> None:
-        nonlocal best, most
-        order: list[int] = []
-        bound: list[int] = []
-        rest, colour = left, 0
-        while rest:
-            colour += 1
-            free = rest
+def search_clique(adjacent: list[int], above: int = 0, order: str = "singletons", input_order: bool = False, decide: int | None = None, touching: list[int] | None = None, timeout: float | None = None) -> CliqueResult:
+    """A largest clique of more than ``above`` vertices, or none, of a graph as bit sets of neighbours: branch and bound, with a
+    greedy colouring as the bound.
+
+    ``order``: of the colours, as they come, those of one vertex first, or the larger first. Vertices are numbered by degree,
+    or as given with ``input_order``. ``decide`` ends with the first clique of that many. With ``touching``, bit sets too, each
+    vertex but the first must touch one before it.
+    """
+    if order not in ORDERS:
+        raise UnsupportedConfiguration(f"order is one of {', '.join(ORDERS)}")
+    n = len(adjacent)
+    by = list(range(n)) if input_order else sorted(range(n), key=lambda v: (-adjacent[v].bit_count(), v))
+    at = {v: i for i, v in enumerate(by)}
+    moved = lambda sets: [sum(1 << at[w] for w in _bits(sets[v])) for v in by]
+    near = adjacent if input_order else moved(adjacent)
+    touch = None if touching is None else touching if input_order else moved(touching)
+    result = CliqueResult([])
+    most = max(above, (decide or 0) - 1)
+    deadline = None if timeout is None else time.monotonic() + timeout
+
+    def colours(left: int) -> tuple[list[int], list[int]]:
+        classes: list[list[int]] = []
+        while left:
+            free, own = left, []
             while free:
                 v = (free & -free).bit_length() - 1
-                free &= ~(adjacent[v] | (1 << v))
-                rest &= ~(1 << v)
-                order.append(v)
-                bound.append(colour)
-        for i in range(len(order) - 1, -1, -1):
-            if len(chosen) + bound[i] <= most:
-                return
-            v = order[i]
+                free &= ~(near[v] | (1 << v))
+                left &= ~(1 << v)
+                own.append(v)
+            classes.append(own)
+        if order == "singletons":
+            classes.sort(key=lambda c: len(c) > 1)
+        elif order == "sorted":
+            classes.sort(key=len, reverse=True)
+        return [v for c in classes for v in c], [k for k, c in enumerate(classes, 1) for _ in c]
+
+    def expand(chosen: list[int], left: int, around: int) -> bool:
+        """False once the search is to end."""
+        nonlocal most
+        result.nodes += 1
+        if deadline is not None and time.monotonic() > deadline:
+            result.complete = False
+            return False
+        vertices, bound = colours(left)
+        skipped = 0
+        for v, most_here in zip(reversed(vertices), reversed(bound)):
+            if len(chosen) + most_here + skipped <= most:
+                return True
+            if touch is not None and chosen and not around >> v & 1:
+                skipped += 1
+                continue
             chosen.append(v)
             if len(chosen) > most:
-                most, best = len(chosen), chosen.copy()
-            expand(chosen, left & adjacent[v])
+                most, result.members = len(chosen), chosen.copy()
+            if decide is not None and len(chosen) >= decide or not expand(chosen, left & near[v], 0 if touch is None else around | touch[v]):
+                return False
             chosen.pop()
             left &= ~(1 << v)
+        return True
+
+    if decide is None or decide > 0:
+        expand([], (1 << n) - 1, 0)
+    result.members = sorted(by[v] for v in result.members)
+    return result
+
+
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
 
-    expand([], (1 << len(adjacent)) - 1)
-    return best
+def largest(adjacent: list[int], above: int = 0, **kw) -> list[int]:
+    return search_clique(adjacent, above, **kw).members
 
 
 def local_clique_size(p: LocalGraph, v: int) -> int:
@@ -79,17 +141,41 @@ def local_clique_size(p: LocalGraph, v: int) -> int:
     return 1 + len(largest([sum(1 << at[x] for x in p.neighbours(w) if x in at and x != w) for w in near]))
 
 
-def _kernel(key: tuple, rows: pa.Table) -> pa.Table:
-    pairs = rows.to_pylist()
-    ids = sorted({x for r in pairs for x in (r["a"], r["b"]) if x is not None})
-    at = {v: i for i, v in enumerate(ids)}
+def _adjacency(rows: pa.Table) -> tuple[list[int], list[int]]:
+    """(ids, neighbours as bit sets) of rows (a, b), where a null b only names a vertex."""
+    a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
+    there = ~np.isnan(b) if b.dtype.kind == "f" else np.ones(len(b), bool)
+    ids = np.unique(a)
     adjacent = [0] * len(ids)
-    for r in pairs:
-        if r["b"] is not None:
-            adjacent[at[r["a"]]] |= 1 << at[r["b"]]
-            adjacent[at[r["b"]]] |= 1 << at[r["a"]]
-    found = [key[0].as_py(), *(ids[i] for i in largest(adjacent))]
-    return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([len(found)], pa.int32()), "members": pa.array([sorted(found)], pa.list_(pa.int64()))})
+    for x, y in zip(np.searchsorted(ids, a[there]).tolist(), np.searchsorted(ids, b[there].astype(np.int64)).tolist()):
+        adjacent[x] |= 1 << y
+        adjacent[y] |= 1 << x
+    return ids.tolist(), adjacent
+
+
+def _kernel(options: dict):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, adjacent = _adjacency(rows)
+        r = search_clique(adjacent, **options)
+        found = sorted([key[0].as_py(), *(ids[i] for i in r.members)])
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([len(found)], pa.int32()), "members": pa.array([found], pa.list_(pa.int64())), "nodes": pa.array([r.nodes], pa.int64()), "complete": pa.array([r.complete])})
+
+    return run
+
+
+CLIQUE = "id long, size int, members array<long>, nodes long, complete boolean"
+
+
+def _through(key: tuple, rows: pa.Table) -> pa.Table:
+    """The largest clique through the group's vertex and each of the others."""
+    ids, adjacent = _adjacency(rows)
+    sizes = []
+    for i in range(len(ids)):
+        inside = list(_bits(adjacent[i]))
+        at = {v: k for k, v in enumerate(inside)}
+        sizes.append(2 + len(largest([sum(1 << at[w] for w in _bits(adjacent[v]) if w in at) for v in inside])))
+    own = key[0].as_py()
+    return pa.table({"id": pa.array([own, *ids], pa.int64()), "size": pa.array([max(sizes, default=1), *sizes], pa.int32())})
 
 
 def _neighbourhoods(e: DataFrame) -> DataFrame:
@@ -99,12 +185,13 @@ def _neighbourhoods(e: DataFrame) -> DataFrame:
     return inside.select("id", "a", "b").union(a.select("id", "a", F.lit(None).cast("long")))
 
 
-def max_cliques(t: Graph) -> DataFrame:
-    """(id, size, members): for each vertex, a largest clique of it and vertices its oriented edges lead to; a vertex without any is a clique of one."""
+def max_cliques(t: Graph, **kw) -> DataFrame:
+    """CLIQUE: for each vertex, a largest clique of it and vertices its oriented edges lead to; a vertex without any is a clique
+    of one. ``kw``: options of ``search_clique``, for each of these searches."""
     ship(t.edges.sparkSession)
     e = oriented(t)
-    found = _neighbourhoods(e).groupBy("id").applyInArrow(_kernel, "id long, size int, members array<long>")
-    alone = t.vertices.select("id").join(e.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(1).alias("size"), F.array("id").alias("members"))
+    found = _neighbourhoods(e).groupBy("id").applyInArrow(_kernel(kw), CLIQUE)
+    alone = t.vertices.select("id").join(e.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(1).alias("size"), F.array("id").alias("members"), F.lit(0).cast("long").alias("nodes"), F.lit(True).alias("complete"))
     return found.union(alone)
 
 
@@ -115,8 +202,19 @@ def clique_number(t: Graph) -> DataFrame:
 
 def max_clique(t: Graph) -> list[int]:
     """The members of a largest clique."""
-    row = max_cliques(t).orderBy(F.desc("size"), "members").first()
-    return list(row["members"]) if row is not None else []
+    return solve_clique(t).members
+
+
+def solve_clique(t: Graph, decide: int | None = None, **kw) -> CliqueResult:
+    """A largest clique; with ``decide`` one of at least that many, or none. ``timeout`` is that of each task's search."""
+    if decide is not None:
+        if decide <= 0:
+            return CliqueResult([])
+        kw["decide"] = max(1, decide - 1)  # the vertex that the neighbourhood is of comes with what is found in it
+    rows = max_cliques(t, **kw)
+    best = rows.agg(F.max(F.struct("size", F.negative("id").alias("i"), "members")).alias("m"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("n"), F.coalesce(F.bool_and("complete"), F.lit(True)).alias("c")).first()
+    members = [] if best["m"] is None or decide is not None and best["m"]["size"] < decide else list(best["m"]["members"])
+    return CliqueResult(members, best["n"], best["c"] or decide is not None and bool(members))
 
 
 def has_clique(t: Graph, k: int) -> bool:
@@ -134,10 +232,8 @@ def clique_counts(t: Graph, most: int) -> DataFrame:
 
 
 def clique_sizes(t: Graph) -> DataFrame:
-    """(id, size): vertices of the largest clique through each vertex, by the kernel on whole neighbourhoods."""
+    """(id, size): vertices of the largest clique through each vertex: the kernel finds it for each pair of a vertex and one that
+    its oriented edges lead to, so a hub's whole neighbourhood is never in one task."""
     ship(t.edges.sparkSession)
-    e = t.edges.where("src <> dst").select("src", "dst")
-    found = _neighbourhoods(e).groupBy("id").applyInArrow(_kernel, "id long, size int, members array<long>").select("id", "size")
-    return found.union(t.vertices.select("id").join(e.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(1).alias("size")))
-
-
+    found = _neighbourhoods(oriented(t)).groupBy("id").applyInArrow(_through, "id long, size int")
+    return found.union(t.vertices.select("id", F.lit(1).alias("size"))).groupBy("id").agg(F.max("size").alias("size"))

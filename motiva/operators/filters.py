@@ -18,6 +18,29 @@ def applicable(p: LocalGraph, t: Graph, o: Options) -> bool:
     return o.injectivity == "injective" or (o.injectivity == "locally_injective" and not p.loopy and t.loops().isEmpty())
 
 
+def sound_filters(p: LocalGraph, t: Graph, o: Options) -> dict[str, bool]:
+    """Which filters leave all solutions in.
+
+    degree: what a vertex has arcs to maps to as many others. neighbours, sequence, shapes, clique: images differ
+    throughout, too. paths: degrees hold, of graphs of common neighbours as well. equal: degrees are equal, as a mapping onto
+    all of the target keeps arcs and their absence.
+    """
+    injective, degrees = o.injectivity == "injective", applicable(p, t, o)
+    plain = not (p.directed or t.directed)
+    return {
+        "degree": degrees,
+        "neighbours": injective,
+        "sequence": injective,
+        "paths": injective and plain,
+        "distance2": plain,
+        "distance3": injective and plain,
+        "k4": injective and plain,
+        "shapes": injective,
+        "clique": injective and plain,
+        "equal": injective and o.induced and plain and not p.has_edge_labels and t.vertices.count() == p.size,
+    }
+
+
 def simple_degrees(t: Graph) -> DataFrame:
     """(id, degree): arcs out, loops left out."""
     return t.vertices.select("id").join(_plain(t).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).cast("long").alias("degree"))
@@ -84,24 +107,49 @@ def degree_sequence_fits(p: LocalGraph, t: Graph) -> bool:
     return len(have) == len(want) and all(x <= y for x, y in zip(want, have))
 
 
-def candidates(p: LocalGraph, t: Graph, use: tuple[str, ...] = ("degree", "neighbours"), **kw) -> dict[int, DataFrame]:
-    """For each pattern vertex, (id) of the target vertices left to it by labels, loops, degrees, neighbours' degrees and, with
-    'clique', largest cliques. Where a filter isn't sound it is left out."""
+def _pattern_paths(p: LocalGraph, k: int) -> list[int]:
+    """How many other vertices each has k or more common neighbours with."""
+    near = [p.neighbours(v) - {v} for v in range(p.size)]
+    return [sum(w != v and len(near[v] & near[w]) >= k for w in range(p.size)) for v in range(p.size)]
+
+
+def candidates(p: LocalGraph, t: Graph, use: tuple[str, ...] = ("degree", "neighbours"), paths: int = 4, shapes: list[tuple[LocalGraph, int, int, int]] = (), **kw) -> dict[int, DataFrame]:
+    """For each pattern vertex, (id) of the target vertices left to it by labels, loops, degrees ('degree'), neighbours' degrees
+    ('neighbours'), degrees in the graphs of 1..``paths`` common neighbours ('paths') and in those of ``shapes``, as (shape,
+    start, end, least) ('shapes'), and largest cliques ('clique'). Where a filter isn't sound it is left out; where degrees
+    must be equal, they are compared so."""
     o = Options(**kw)
     out = {}
     degrees, around, sizes = simple_degrees(t), neighbourhood_degrees(t), None
-    sound = applicable(p, t, o)
+    sound = sound_filters(p, t, o)
+    equal = sound["equal"]
+    derived: list[tuple[list[int], DataFrame]] = []
+    out_degrees = lambda e: e.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    if "paths" in use and sound["paths"]:
+        n = common_neighbours(t)
+        derived += [(own, out_degrees(n.where(F.col("n") >= k).select("src", "dst"))) for k in range(1, paths + 1) if any(own := _pattern_paths(p, k))]
+    if "shapes" in use and sound["shapes"]:
+        from .search import Search
+
+        for shape, start, end, least in shapes:
+            own = [x.bit_count() - (x >> v & 1) for v, x in enumerate(Search._shape(p, shape, start, end, least))]
+            derived.append((own, out_degrees(shape_graph(Graph(t.vertices, t.edges, t.directed), shape, start, end, least))))
     for v in range(p.size):
         domain = _domain(p, t, o, v)
         df = domain if domain is not None else t.vertices.select("id")
         near = p.neighbours(v) - {v}
-        if sound and near:
+        if sound["degree"] and near:
             if "degree" in use:
-                df = df.join(degrees.where(F.col("degree") >= len(near)).select("id"), "id", "left_semi")
-            if "neighbours" in use and o.injectivity == "injective":
+                fits = F.col("degree") == len(near) if equal else F.col("degree") >= len(near)
+                df = df.join(degrees.where(fits).select("id"), "id", "left_semi")
+            if "neighbours" in use and sound["neighbours"]:
                 want = sorted((len(p.neighbours(w) - {w}) for w in near), reverse=True)
-                df = df.join(around.where(dominated(want, F.col("degrees"))).select("id"), "id", "left_semi")
-        if "clique" in use and o.injectivity == "injective" and not (p.directed or t.directed):
+                fits = F.col("degrees") == F.array(*(F.lit(x).cast("long") for x in want)) if equal else dominated(want, F.col("degrees"))
+                df = df.join(around.where(fits).select("id"), "id", "left_semi")
+        for own, have in derived:
+            if own[v]:
+                df = df.join(have.where(F.col("degree") >= own[v]).select("id"), "id", "left_semi")
+        if "clique" in use and sound["clique"]:
             from .clique import clique_sizes, local_clique_size
 
             sizes = clique_sizes(t) if sizes is None else sizes
@@ -118,3 +166,15 @@ def domain_sizes(p: LocalGraph, t: Graph, **kw) -> DataFrame:
         row = df.agg(F.count("*").alias("candidates")).select(F.lit(p.names[v]).alias("pattern_vertex"), "candidates")
         every = row if every is None else every.union(row)
     return every if every is not None else spark.createDataFrame([], "pattern_vertex string, candidates long")
+
+
+def domains_suffice(domains: dict[int, DataFrame], injectivity: str = "injective") -> bool:
+    """Whether no pattern vertex is without a candidate and, injectively, all of them together have enough: else there is no solution."""
+    if not domains:
+        return True
+    every = None
+    for v, df in domains.items():
+        row = df.select("id", F.lit(v).alias("v"))
+        every = row if every is None else every.unionByName(row)
+    ids, vertices = every.agg(F.countDistinct("id"), F.countDistinct("v")).first()
+    return vertices == len(domains) and (injectivity != "injective" or ids >= len(domains))

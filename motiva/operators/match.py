@@ -10,7 +10,7 @@ An undirected pattern edge needs both arcs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ class Options:
     occurs_less: list[tuple[int, int]] = field(default_factory=list)
     #: Candidates of pattern vertices, (id) by pattern vertex, as operators.filters makes them: solutions stay the same.
     candidates: dict[int, DataFrame] = field(default_factory=dict)
+    #: Filters of operators.filters.candidates to apply before any join.
+    filters: tuple[str, ...] = ()
 
     def check(self, p: LocalGraph) -> None:
         if self.injectivity not in INJECTIVITY:
@@ -72,6 +74,11 @@ def match(p: LocalGraph, t: Graph, options: Options | None = None, **kw) -> Data
     """All solutions: a row each, with a column of target ids for each pattern vertex, named after it."""
     o = options or Options(**kw)
     o.check(p)
+    if o.filters and p.size:
+        from .filters import candidates
+
+        own = candidates(p, t, use=o.filters, injectivity=o.injectivity, induced=o.induced)
+        o = replace(o, filters=(), candidates={v: df if v not in o.candidates else df.join(o.candidates[v], "id", "left_semi") for v, df in own.items()})
     distinct = {(a, b) for a in range(p.size) for b in range(a + 1, p.size)} if o.injectivity == "injective" else common_in_neighbour(p) if o.injectivity == "locally_injective" else set()
     df, placed = None, []
     for v in join_order(p):
@@ -106,8 +113,6 @@ def match(p: LocalGraph, t: Graph, options: Options | None = None, **kw) -> Data
         placed.append(v)
     if df is None:
         return t.edges.sparkSession.range(1).select()
-    if any(a == b for a, b in o.less):
-        df = df.where("false")
     used = F.array(*(column(v) for v in range(p.size)))
     for a, b in o.occurs_less:
         at_b, at_a = F.array_position(used, F.lit(b).cast("long")), F.array_position(used, F.lit(a).cast("long"))
@@ -147,6 +152,16 @@ def find(p: LocalGraph, t: Graph, **kw) -> Result:
     return Result("true", dict(enumerate(row))) if row is not None else Result("false")
 
 
+def search(p: LocalGraph, t: Graph, **kw) -> Result:
+    """By the kernel of ``operators.search`` in tasks over the images of one pattern vertex, for hard patterns in targets that fit
+    a machine: one solution, or with ``count`` their number; ``timeout`` gives what was found until then, not complete."""
+    from .search import solve_in_tasks, solved
+
+    rows = [r["id"] for r in t.vertices.select("id").orderBy("id").collect()]
+    r = solved(solve_in_tasks(t.edges.sparkSession, p, t.to_local(), **kw))
+    return Result(r.status, None if r.mapping is None else {v: rows[w] for v, w in r.mapping.items()}, r.count, r.complete)
+
+
 def solutions(p: LocalGraph, t: Graph, limit: int, **kw) -> Result:
     """At most ``limit`` solutions counted; aborted if there are more."""
     n = match(p, t, **kw).limit(limit + 1).count()
