@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import Graph, LocalGraph
 from .operators import clique, filters, mcs
-from .operators.count import tree_weights
-from .operators.match import match
-from .operators.opb import opb_constraints
+from .operators.count import count_solutions, tree_weights
+from .operators.match import find, match, solutions
+from .operators.match import search as find_by_search
+from .operators.opb import clique_model, opb_constraints
 from .operators.verify import violations
-from .session import cut, ship
+from .session import cut, shared_dir, ship
+from .sources import formats
 from .sources.sinks import lad_lines
 
 EDGE = LocalGraph.of([("a", "b")])
@@ -256,6 +259,120 @@ def clique_sizes_capped(spark, sf_dir):
     return clique.clique_sizes(co_order(spark, sf_dir, 3)).select("id", F.least("size", F.lit(3)).alias("size"))
 
 
+_THROUGH = ", t3 AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM co a JOIN co b ON a.dst = b.src JOIN co c ON c.src = a.src AND c.dst = b.dst), t4 AS (SELECT a.x, a.y, a.z, b.z AS u FROM t3 a JOIN t3 b ON a.x = b.x AND a.y = b.y JOIN co ON co.src = a.z AND co.dst = b.z), m AS (SELECT id, 1 AS size FROM v UNION ALL SELECT src, 2 FROM e UNION ALL SELECT unnest([x, y, z]), 3 FROM t3 UNION ALL SELECT unnest([x, y, z, u]), 4 FROM t4)"
+
+
+@_query(_THROUGH + " SELECT id, max(size)::INTEGER AS size FROM m GROUP BY id", 2)
+def clique_sizes(spark, sf_dir):
+    """Whole sizes; at the scale the SQL is for, no clique has five vertices."""
+    return clique.clique_sizes(co_order(spark, sf_dir, 2))
+
+
+@_query("SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = y.dst JOIN e w ON w.src = z.dst AND w.dst = x.src WHERE x.src <> x.dst AND y.src <> y.dst AND z.src <> z.dst AND x.src <> y.dst AND x.dst <> z.dst AND x.src <> z.dst", prefix=TRADE)
+def search_cycle4_count(spark, sf_dir):
+    """By the search kernel in tasks."""
+    p = LocalGraph.of([("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")], directed=True)
+    return _number(spark, find_by_search(p, trade(spark, sf_dir), count=True, tasks=8).count or 0)
+
+
+@_query("SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> x.dst AND y.src <> y.dst AND x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e m WHERE m.src = x.src AND m.dst = y.dst) AND NOT EXISTS (SELECT 1 FROM e m WHERE m.src = y.dst AND m.dst = x.src) AND NOT EXISTS (SELECT 1 FROM e m WHERE m.src = x.dst AND m.dst = x.src) AND NOT EXISTS (SELECT 1 FROM e m WHERE m.src = y.dst AND m.dst = x.dst) AND NOT EXISTS (SELECT 1 FROM e m WHERE m.src = m.dst AND m.src IN (x.src, x.dst, y.dst))", prefix=TRADE)
+def search_induced_count(spark, sf_dir):
+    p = LocalGraph.of([("a", "b"), ("b", "c")], directed=True)
+    return _number(spark, find_by_search(p, trade(spark, sf_dir), count=True, induced=True, tasks=8).count or 0)
+
+
+def _number(spark: SparkSession, n: int) -> DataFrame:
+    return spark.createDataFrame([(n,)], "n long")
+
+
+@_query("SELECT CASE WHEN count(*) > 0 THEN 'true' ELSE 'false' END AS status FROM (SELECT 1 FROM co a JOIN co b ON a.dst = b.src JOIN co c ON c.src = a.src AND c.dst = b.dst LIMIT 1)", 2)
+def find_triangle(spark, sf_dir):
+    """Through the shortcut for patterns that are cliques."""
+    return spark.createDataFrame([(find(TRIANGLE, co_order(spark, sf_dir, 2)).status,)], "status string")
+
+
+@_query("SELECT CASE WHEN (SELECT count(*) FROM v) < 9 THEN 'false' ELSE 'true' END AS big, 'true' AS loop FROM (SELECT 1) WHERE (SELECT count(*) FROM e WHERE src = dst) > 0", prefix=TRADE)
+def find_shortcuts(spark, sf_dir):
+    """Nine vertices without edges in a graph that has as many; anything at all, onto one loop."""
+    t = trade(spark, sf_dir)
+    return spark.createDataFrame([(find(LocalGraph(9), t).status, find(PATH4, t, injectivity="noninjective").status)], "big string, loop string")
+
+
+@_query("SELECT CASE WHEN n > 1000 THEN 'aborted' WHEN n > 0 THEN 'true' ELSE 'false' END AS status, least(n, 1000) AS n FROM (SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src AND x.src <> y.dst)", 2)
+def solution_limit(spark, sf_dir):
+    r = solutions(PATH3, co_order(spark, sf_dir, 2), 1000)
+    return spark.createDataFrame([(r.status, r.count)], "status string, n long")
+
+
+@_query("SELECT ((SELECT count(*)::HUGEINT FROM e x JOIN e y ON x.dst = y.src) * (SELECT count(*) FROM e) * (SELECT count(*) FROM v))::VARCHAR AS n", 1)
+def component_count(spark, sf_dir):
+    """A path, an edge and a vertex, without injectivity: each part is counted by itself."""
+    p = LocalGraph.of([("a", "b"), ("b", "c"), ("d", "e")], vertices=["a", "b", "c", "d", "e", "f"])
+    return spark.createDataFrame([(str(count_solutions(p, co_order(spark, sf_dir, 1), injectivity="noninjective")),)], "n string")
+
+
+@_query("SELECT ((SELECT count(*)::HUGEINT FROM e x JOIN e y ON x.dst = y.src AND x.src <> y.dst) * (n - 3) * (n - 4))::VARCHAR AS n FROM (SELECT count(*) AS n FROM v)", 2)
+def decomposed_count(spark, sf_dir):
+    """A path and two vertices apart from it, injectively: those are a factor."""
+    p = LocalGraph.of([("a", "b"), ("b", "c")], vertices=["a", "b", "c", "d", "e"])
+    return spark.createDataFrame([(str(count_solutions(p, co_order(spark, sf_dir, 2))),)], "n string")
+
+
+@_query("SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src AND x.src <> y.dst JOIN e z ON y.dst = z.src AND z.dst <> y.src JOIN e w ON w.src = z.dst AND w.dst = x.src AND z.dst <> x.src", 2)
+def square_count_filtered(spark, sf_dir):
+    """Candidates filtered by degrees, neighbours' degrees and common neighbours before the joins."""
+    return _counted(match(SQUARE, co_order(spark, sf_dir, 2), filters=("degree", "neighbours", "paths")))
+
+
+@_query("SELECT (count(*) FILTER (d >= 3) >= 1 AND count(*) FILTER (d >= 1) >= 4) AS fits FROM (SELECT count(*) AS d FROM e GROUP BY src)", 2)
+def degree_sequence(spark, sf_dir):
+    return spark.createDataFrame([(filters.degree_sequence_fits(STAR3, co_order(spark, sf_dir, 2)),)], "fits boolean")
+
+
+@_query("SELECT src, dst FROM e", 2)
+def csv_round_trip(spark, sf_dir):
+    """Edges written as a CSV graph and read again; vertices by name."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    co_order_weights(spark, sf_dir, 2).select(F.concat_ws(",", "src", "dst").alias("value")).write.text(path)
+    g = formats.read_graph(spark, path)
+    name = lambda c: g.vertices.select(F.col("id").alias(c), F.col("name").cast("long").alias(f"n{c}"))
+    return g.edges.join(name("src"), "src").join(name("dst"), "dst").select(F.col("nsrc").alias("src"), F.col("ndst").alias("dst"))
+
+
+@_query(", r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v) SELECT a.k AS src, b.k AS dst FROM e JOIN r a ON a.id = src JOIN r b ON b.id = dst", 2)
+def dimacs_round_trip(spark, sf_dir):
+    """Edges between ranks of parts, written as DIMACS and read again."""
+    g = co_order(spark, sf_dir, 2)
+    rank = g.vertices.select("id", F.row_number().over(Window.orderBy("id")).alias("k"))
+    e = g.edges.where("src < dst").join(rank.toDF("src", "a"), "src").join(rank.toDF("dst", "b"), "dst")
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    head = g.vertices.agg(F.concat(F.lit("p edge "), F.count("*").cast("string"), F.lit(" 0")).alias("value"))
+    head.union(e.select(F.concat(F.lit("e "), F.col("a").cast("string"), F.lit(" "), F.col("b").cast("string")))).write.text(path)
+    return formats.read_graph(spark, path, "dimacs").edges.select("src", "dst")
+
+
+@_query(" SELECT src, dst FROM e", prefix=TRADE)
+def lad_round_trip(spark, sf_dir):
+    """The trade graph as a file of directed LAD, read by way of the driver."""
+    g = trade(spark, sf_dir).to_local()
+    near = [sorted(g.neighbours(v)) for v in range(g.size)]
+    text = "\n".join([str(g.size), *(" ".join(map(str, (len(n), *n))) for n in near)])
+    return Graph.from_local(spark, formats.parse_lad(text, kind="directedlad")).edges.select("src", "dst")
+
+
+@_query("SELECT src, dst, CASE WHEN src = dst THEN 'home' ELSE 'away' END AS label FROM e", prefix=TRADE)
+def labelled_lad_round_trip(spark, sf_dir):
+    g = trade(spark, sf_dir).to_local()
+    near = [sorted(g.neighbours(v)) for v in range(g.size)]
+    text = "\n".join([str(g.size), *(" ".join(["n", str(len(n)), *(f"{w} {'home' if v == w else 'away'}" for w in n)]) for v, n in enumerate(near))])
+    return Graph.from_local(spark, formats.parse_lad(text, kind="labelledlad")).edges.select("src", "dst", "label")
+
+
+@_query("SELECT kind, count(*) AS n FROM (SELECT 'objective' AS kind UNION ALL SELECT 'apart' FROM v a, v b WHERE a.id < b.id AND NOT EXISTS (SELECT 1 FROM co WHERE src = a.id AND dst = b.id)) GROUP BY 1", 3)
+def clique_model_size(spark, sf_dir):
+    return clique_model(co_order(spark, sf_dir, 3)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def _ends(spark, sf_dir, least: bool) -> Graph:
     """The subgraph of nations up to 7, or from 17 on."""
     t = trade(spark, sf_dir)
@@ -281,6 +398,13 @@ def common_mappings3(spark, sf_dir):
     return df.select(*(m[i][k].alias(f"{k}{i + 1}") for i in range(3) for k in ("f", "s")))
 
 
+_MAPPINGS = _PAIRS + ", k2 AS (SELECT f1 AS a1, s1 AS b1, f2 AS a2, s2 AS b2 FROM q WHERE f1 < f2)" + "".join(
+    f", k{k} AS (SELECT {', '.join(f'x.a{i} AS a{i}, x.b{i} AS b{i}' for i in range(1, k))}, y.a{k - 1} AS a{k}, y.b{k - 1} AS b{k} FROM k{k - 1} x JOIN k{k - 1} y ON {' AND '.join(['TRUE', *(f'x.a{i} = y.a{i} AND x.b{i} = y.b{i}' for i in range(1, k - 1))])} JOIN q ON q.f1 = x.a{k - 1} AND q.s1 = x.b{k - 1} AND q.f2 = y.a{k - 1} AND q.s2 = y.b{k - 1} WHERE x.a{k - 1} < y.a{k - 1})"
+    for k in range(3, 9)
+)
+
+
+@_query(_MAPPINGS + " SELECT max(k)::BIGINT AS size FROM (SELECT 0 AS k UNION ALL SELECT 1 FROM p " + "".join(f"UNION ALL SELECT {k} FROM k{k} " for k in range(2, 9)) + ")", prefix=TRADE)
 def mcs_size(spark, sf_dir):
     """Size of the largest common induced subgraph of two parts of the trade graph, by search in tasks."""
     f, s = _ends(spark, sf_dir, True).to_local(), _ends(spark, sf_dir, False).to_local()
@@ -325,7 +449,7 @@ def opb_model_size(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _queries | {f.__name__: f for f in (mcs_size, mcs_connected_size)}
+    return _queries | {f.__name__: f for f in (mcs_connected_size,)}
 
 
 def oracle_sql() -> dict[str, str]:

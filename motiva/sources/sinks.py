@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import platform
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,26 @@ def report(values: dict[str, object]) -> str:
     return "".join(f"{k} = {str(v).lower() if isinstance(v, bool) else v}\n" for k, v in values.items())
 
 
+def run_report(result, pattern: LocalGraph | None = None, names: dict[int, str] | None = None, seconds: float | None = None, **files: str) -> str:
+    """The report of a matching, clique or common subgraph result: who ran it when, on which files, status, counts, nodes,
+    the mapping or members, and the runtime in milliseconds."""
+    values: dict[str, object] = {"hostname": platform.node(), "started_at": time.strftime("%Y-%m-%d %H:%M:%S"), **{f"{k}_file": v for k, v in files.items()}}
+    mapping, members = getattr(result, "mapping", None), getattr(result, "members", None)
+    values["status"] = getattr(result, "status", None) or ("true" if mapping or members else "false" if result.complete else "aborted")
+    for key in ("size", "count", "nodes", "propagations", "restarts", "complete"):
+        if (value := getattr(result, key, None)) is not None:
+            values["solution_count" if key == "count" else key] = value
+    named = names or {}
+    if mapping:
+        values["mapping"] = mapping_text(pattern, {t: named.get(t, str(t)) for t in mapping.values()}, mapping) if pattern is not None else " ".join(f"({a} -> {b})" for a, b in sorted(mapping.items()))
+    if members:
+        values["clique"] = " ".join(named.get(v, str(v)) for v in members)
+    seconds = getattr(result, "seconds", None) if seconds is None else seconds
+    if seconds is not None:
+        values["runtime"] = round(1000 * seconds)
+    return report(values)
+
+
 def mapping_text(pattern: LocalGraph, names: dict[int, str], mapping: dict[int, int]) -> str:
     """(p -> t) for each pattern vertex, in order of its id."""
     return " ".join(f"({pattern.names[p]} -> {names[t]})" for p, t in sorted(mapping.items()))
