@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, LocalGraph, UnsupportedConfiguration
-from ..plans.order import INJECTIVITY, check_less, common_in_neighbour, is_clique, join_order
+from ..plans.order import INJECTIVITY, check_less, common_in_neighbour, is_clique, join_order, subgraph
 
 
 @dataclass
@@ -142,6 +142,18 @@ def find(p: LocalGraph, t: Graph, **kw) -> Result:
         loop = t.loops().first()
         if loop is not None:
             return Result("true", dict.fromkeys(range(p.size), loop["src"]))
+    touched = sorted({v for arc in p.arcs for v in arc})
+    if len(touched) < p.size and not (o.induced or p.has_vertex_labels or o.less or o.occurs_less or o.candidates):
+        # Vertices without arcs take whatever is left; there is enough, or any will do.
+        r = find(subgraph(p, touched), t, injectivity=o.injectivity)
+        if r.mapping is None:
+            return r
+        used = {touched[v]: w for v, w in r.mapping.items()}
+        some = [row["id"] for row in t.vertices.select("id").limit(p.size).collect()]
+        if not some:
+            return Result("false")
+        free = iter([w for w in some if w not in used.values()])
+        return Result("true", {v: used[v] if v in used else next(free) if o.injectivity == "injective" else some[0] for v in range(p.size)})
     plain = not (p.directed or p.has_vertex_labels or p.has_edge_labels or p.loopy or t.directed or o.less or o.occurs_less or o.candidates)
     if plain and p.size > 1 and o.injectivity == "injective" and is_clique(p) and (not o.induced or t.loops().isEmpty()):
         from .clique import cliques

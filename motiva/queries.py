@@ -291,11 +291,12 @@ def find_triangle(spark, sf_dir):
     return spark.createDataFrame([(find(TRIANGLE, co_order(spark, sf_dir, 2)).status,)], "status string")
 
 
-@_query("SELECT CASE WHEN (SELECT count(*) FROM v) < 9 THEN 'false' ELSE 'true' END AS big, 'true' AS loop FROM (SELECT 1) WHERE (SELECT count(*) FROM e WHERE src = dst) > 0", prefix=TRADE)
+@_query("SELECT CASE WHEN n < 26 THEN 'false' ELSE 'true' END AS big, CASE WHEN n < 9 THEN 'false' ELSE 'true' END AS small, CASE WHEN l > 0 THEN 'true' ELSE 'unknown' END AS loop FROM (SELECT count(*) AS n FROM v), (SELECT count(*) AS l FROM e WHERE src = dst)", prefix=TRADE)
 def find_shortcuts(spark, sf_dir):
-    """Nine vertices without edges in a graph that has as many; anything at all, onto one loop."""
+    """More vertices than the target has; nine without edges; anything at all, onto one loop."""
     t = trade(spark, sf_dir)
-    return spark.createDataFrame([(find(LocalGraph(9), t).status, find(PATH4, t, injectivity="noninjective").status)], "big string, loop string")
+    status = (find(LocalGraph(26), t).status, find(LocalGraph(9), t).status, find(PATH4, t, injectivity="noninjective").status)
+    return spark.createDataFrame([status], "big string, small string, loop string")
 
 
 @_query("SELECT CASE WHEN n > 1000 THEN 'aborted' WHEN n > 0 THEN 'true' ELSE 'false' END AS status, least(n, 1000) AS n FROM (SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src AND x.src <> y.dst)", 2)
@@ -360,11 +361,11 @@ def lad_round_trip(spark, sf_dir):
     return Graph.from_local(spark, formats.parse_lad(text, kind="directedlad")).edges.select("src", "dst")
 
 
-@_query("SELECT src, dst, CASE WHEN src = dst THEN 'home' ELSE 'away' END AS label FROM e", prefix=TRADE)
+@_query("SELECT src, dst, CASE WHEN src = dst THEN '7' ELSE '8' END AS label FROM e", prefix=TRADE)
 def labelled_lad_round_trip(spark, sf_dir):
     g = trade(spark, sf_dir).to_local()
     near = [sorted(g.neighbours(v)) for v in range(g.size)]
-    text = "\n".join([str(g.size), *(" ".join(["n", str(len(n)), *(f"{w} {'home' if v == w else 'away'}" for w in n)]) for v, n in enumerate(near))])
+    text = "\n".join([str(g.size), *(" ".join(["1", str(len(n)), *(f"{w} {7 if v == w else 8}" for w in n)]) for v, n in enumerate(near))])
     return Graph.from_local(spark, formats.parse_lad(text, kind="labelledlad")).edges.select("src", "dst", "label")
 
 

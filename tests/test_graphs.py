@@ -253,3 +253,100 @@ def test_registered_queries(spark):
         df = e.queries()[name](spark, sf)
         rows = con.execute(f"select {', '.join(df.columns)} from ({queries.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(rows), name
+
+
+def test_clique_kernel_options():
+    import itertools
+
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        near = [0] * n
+        for a, b in itertools.combinations(range(n), 2):
+            if rng.random() < 0.5:
+                near[a] |= 1 << b
+                near[b] |= 1 << a
+        whole = [c for k in range(1, n + 1) for c in itertools.combinations(range(n), k) if all(near[a] >> b & 1 for a, b in itertools.combinations(c, 2))]
+        best = max(map(len, whole))
+        for order in clique.ORDERS:
+            for given in (False, True):
+                r = clique.search_clique(near, order=order, input_order=given)
+                assert r.size == best and tuple(r.members) in whole and r.complete
+        assert clique.search_clique(near, decide=best).size == best and clique.search_clique(near, decide=best + 1).size == 0
+        touch = [0] * n
+        for a, b in itertools.combinations(range(n), 2):
+            if near[a] >> b & 1 and rng.random() < 0.4:
+                touch[a] |= 1 << b
+                touch[b] |= 1 << a
+
+        def joined(c):
+            seen = {c[0]}
+            for _ in c:
+                seen |= {v for v in c if any(touch[v] >> w & 1 for w in seen)}
+            return len(seen) == len(c)
+
+        assert clique.search_clique(near, touching=touch).size == max(len(c) for c in whole if joined(c))
+    dense = [((1 << 90) - 1) & ~(1 << v) & ~(1 << (v + 1) % 90) & ~(1 << (v - 1) % 90) & ~sum(1 << w for w in range(90) if (v * w + v + w) % 3 == 0) for v in range(90)]
+    dense = [sum(1 << w for w in range(90) if dense[v] >> w & 1 and dense[w] >> v & 1) for v in range(90)]
+    assert not clique.search_clique(dense, timeout=0.0).complete
+
+
+def test_clique_results(spark):
+    g = some_graph(5)
+    t = Graph.from_local(spark, g)
+    best = max(k for k in range(1, 10) if brute.cliques(g, k))
+    r = clique.solve_clique(t)
+    assert r.size == best and r.complete and r.nodes > 0
+    assert clique.solve_clique(t, decide=best).size == best and clique.solve_clique(t, decide=best + 1).members == [] and clique.solve_clique(t, decide=0).size == 0
+    text = sinks.run_report(r, graph="g.lad", seconds=0.5)
+    assert f"size = {best}\n" in text and "status = true\n" in text and "runtime = 500\n" in text and "graph_file = g.lad\n" in text
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_connected_common_subgraphs_by_clique(spark, seed):
+    f, s = some_graph(seed, 4, 0.5), some_graph(seed + 50, 5, 0.5)
+    found = mcs.mcs_by_clique(Graph.from_local(spark, f), Graph.from_local(spark, s), connected=True)
+    assert len(found) == max(common(f, s, True), default=0)
+
+
+def test_timeouts_of_common_subgraphs():
+    f, s = some_graph(1, 40, 0.5), some_graph(2, 40, 0.5)
+    r = mcs.search(f, s, timeout=0.3)
+    assert not r.complete and r.size > 0 and r.nodes > 0
+
+
+def test_domains_suffice(spark):
+    t = Graph.from_local(spark, LocalGraph.of([(0, 1), (1, 2), (2, 3)]))
+    path, star = LocalGraph.of([("a", "b"), ("b", "c")]), LocalGraph.of([("a", "b"), ("a", "c"), ("a", "d")])
+    assert filters.domains_suffice(filters.candidates(path, t)) and not filters.domains_suffice(filters.candidates(star, t))
+    same = LocalGraph.of([(0, 1), (1, 2), (2, 3)])
+    sizes = {v: df.count() for v, df in filters.candidates(same, t, induced=True).items()}
+    assert filters.sound_filters(same, t, filters.Options(induced=True))["equal"] and sizes == {0: 2, 1: 2, 2: 2, 3: 2}
+    shapes = [(path, 0, 2, 1)]
+    assert {v: df.count() for v, df in filters.candidates(same, t, use=("shapes",), shapes=shapes).items()} == {0: 4, 1: 4, 2: 4, 3: 4}
+
+
+def test_models_of_cliques_and_common_subgraphs(spark):
+    from itertools import product
+
+    from motiva.operators.opb import clique_model, common_subgraph_model, mapping_literals, proof_text
+
+    def holds(line, true):
+        left, right = line.rstrip(" ;").split(" >= ")
+        terms = left.split()
+        return sum(int(w) * (x in true) for w, x in zip(terms[::2], terms[1::2])) >= int(right)
+
+    g = some_graph(3, 6)
+    lines = [r["constraint"] for r in clique_model(Graph.from_local(spark, g), least=3).collect()]
+    count = sum(all(holds(x, {f"x{v}" for v in range(6) if m[v]}) for x in lines) for m in product((0, 1), repeat=6))
+    assert count == sum(brute.cliques(g, k) for k in range(3, 7))
+    f, s = some_graph(1, 3, 0.5), some_graph(2, 4, 0.5)
+    lines = [r["constraint"] for r in common_subgraph_model(Graph.from_local(spark, f), Graph.from_local(spark, s), least=2).collect()]
+    good = 0
+    for m in product((None, 0, 1, 2, 3), repeat=3):
+        good += all(holds(x, {f"x{v}_{'null' if w is None else w}" for v, w in enumerate(m)}) for x in lines)
+    assert good == sum(k >= 2 for k in common(f, s))
+    text = proof_text(5, [mapping_literals(LocalGraph(2), {0: 3, 1: 4})], "SAT")
+    assert text.splitlines()[1] == "f 5" and "conclusion SAT : x0_3 x1_4" in text
+    with pytest.raises(ValueError):
+        proof_text(5, [], "UNSAT")

@@ -83,6 +83,22 @@ def test_known_counts(spark, p, t, kw, n):
     assert (r.status == "true") == (n > 0) and r.complete
 
 
+def test_vertices_without_arcs_take_what_is_left(spark):
+    t = LocalGraph.of([(0, 1), (2, 3)], vertices=map(str, range(40)))
+    p = LocalGraph.of([("a", "b")], vertices=["x", "a", "b", *(f"y{i}" for i in range(30))])
+    r = find(p, Graph.from_local(spark, t))
+    assert r.status == "true" and len(set(r.mapping.values())) == p.size and all((r.mapping[a], r.mapping[b]) in t.arcs for a, b in p.arcs)
+    assert find(LocalGraph(41), Graph.from_local(spark, t)).status == "false"
+
+
+def test_matching_with_filters_of_its_own(spark):
+    rng = random.Random(15)
+    for mode in MODES[:4]:
+        p, t = instance(rng, 3), instance(rng, 6)
+        own = got(p, Graph.from_local(spark, t), injectivity=mode[0], induced=mode[1], filters=("degree", "neighbours", "paths", "clique"))
+        assert own == sorted(brute.solutions(p, t, *mode))
+
+
 def test_constraints(spark):
     t = LocalGraph.of([(a, b) for a in range(4) for b in range(a)])
     g = Graph.from_local(spark, t)
