@@ -107,6 +107,22 @@ def triangle_embeddings(spark, sf_dir):
     return match(TRIANGLE, co_order(spark, sf_dir, 2))
 
 
+@_query("SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst", 1)
+def triangle_embeddings_dense(spark, sf_dir):
+    """Parts of one common order: a graph that grows with the data."""
+    return _counted(match(TRIANGLE, co_order(spark, sf_dir, 1)))
+
+
+@_query("SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src AND x.src <> y.dst", 1)
+def path3_injective_dense(spark, sf_dir):
+    return _counted(match(PATH3, co_order(spark, sf_dir, 1)))
+
+
+@_query("SELECT count(*) AS n, sum(c)::BIGINT AS common FROM (SELECT x.dst, y.dst, count(*) AS c FROM e x JOIN e y ON x.src = y.src GROUP BY 1, 2 HAVING count(*) >= 3)", 1)
+def common_neighbours_dense(spark, sf_dir):
+    return filters.common_neighbours(co_order(spark, sf_dir, 1)).where("n >= 3").agg(F.count("*").alias("n"), F.sum("n").alias("common"))
+
+
 @_query("SELECT count(*) AS n FROM e x JOIN e y ON x.dst = y.src", 2)
 def path3_hom(spark, sf_dir):
     return _counted(match(PATH3, co_order(spark, sf_dir, 2), injectivity="noninjective"))
@@ -432,6 +448,13 @@ def tree_hom_count(spark, sf_dir):
     return tree_weights(TREE, co_order(spark, sf_dir, 1)).agg(F.sum("w").cast("decimal(38,0)").cast("string").alias("n"))
 
 
+@_query("SELECT x.src AS a, x.dst AS b, y.dst AS c, 'edge' AS rule FROM e x JOIN e y ON x.dst = y.src AND x.src <> y.dst WHERE NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) UNION ALL SELECT src, dst, src, rule FROM e, (SELECT unnest(['edge', 'injectivity']) AS rule)", 2)
+def violations_of_triangles(spark, sf_dir):
+    """Paths, back and forth included, held against the rules of triangles."""
+    g = co_order(spark, sf_dir, 2)
+    return violations(match(PATH3, g, injectivity="noninjective"), TRIANGLE, g)
+
+
 @_query("SELECT 0::BIGINT AS n", 2)
 def verified_squares(spark, sf_dir):
     g = co_order(spark, sf_dir, 2)
