@@ -55,12 +55,31 @@ def keys(h: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _sorted_counts(k: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(k, kind="stable") if weights is not None else None
-    k = np.sort(k) if order is None else k[order]
+def _sorted_counts(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k = np.sort(k)
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    n = np.diff(np.append(at, len(k))) if order is None else (np.add.reduceat(weights[order], at) if len(at) else weights)
-    return k[at], n
+    return k[at], np.diff(np.append(at, len(k)))
+
+
+def _summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their counts) of parts (keys of 56 bits, counts): the count goes in the eight bits below its key, so
+    that one array is sorted in place; what exceeds them comes in keys of its own."""
+    cells, extra = [], []
+    for k, c in parts:
+        c = c.astype(np.uint64)
+        cells.append(k << np.uint64(8) | np.minimum(c, np.uint64(255)))
+        if (over := c > 255).any():
+            extra.append((k[over], c[over] - np.uint64(255)))
+    x = np.concatenate(cells) if cells else np.zeros(0, np.uint64)
+    del cells
+    x.sort()
+    k = x >> np.uint64(8)
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    k = k[at]
+    n = np.add.reduceat(x & np.uint64(255), at).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+    for own, more in extra:
+        np.add.at(n, np.searchsorted(k, own), more.astype(np.int64))
+    return k, n
 
 
 def packed(k: np.ndarray) -> bytes:
@@ -139,7 +158,8 @@ def _merge(base: float):
             rows = held.pop(segment)
             k, c, seen, total = [], [], 0, 0
             for n in sorted({r[0] for r in rows}):
-                x, y = _sorted_counts(np.concatenate([unpacked(r[1], np.uint64) for r in rows if r[0] == n]), np.concatenate([unpacked(r[2], np.uint32) for r in rows if r[0] == n]).astype(np.int64))
+                x, y = _summed((unpacked(r[1], np.uint64), unpacked(r[2], np.uint32)) for r in rows if r[0] == n)
+                rows = [r for r in rows if r[0] != n]
                 if n == 1:
                     seen, total = len(x), int(y.sum())
                 k.append(x[y > 1])
@@ -330,7 +350,7 @@ def lm_scores(docs: DataFrame, order: int = 3, base: float = 1.5, weights: tuple
     if order < 1 or not all(0 <= w <= 1 for w in weights):
         raise ValueError("order is 1 at least, and weights lie between 0 and 1")
     spark = docs.sparkSession
-    segments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs.select("text")) // SEGMENT_BYTES))
+    segments = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs.select("text")) // SEGMENT_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_col().alias("w"))
     counts = source.select("w").mapInArrow(_count(order, segments), "segment int, n int, keys binary, counts binary")
     parts = cut(counts.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(_merge(base), "segment int, filter binary, seen long, total long"))

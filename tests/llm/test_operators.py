@@ -231,6 +231,18 @@ def test_a_second_copy_scores_apart(spark, docs):
     assert max(got[10_000 + i] for i in range(20)) < min(got[10_000 + i] for i in range(20, 40)) / 5
 
 
+def test_summed_counts():
+    rng = np.random.default_rng(2)
+    parts, want = [], Counter()
+    for _ in range(5):
+        k = np.unique(rng.integers(1, 400, 200)).astype(np.uint64) << np.uint64(40)
+        c = rng.choice([1, 2, 254, 255, 256, 511, 70_000], len(k))
+        parts.append((k, c.astype(np.uint32)))
+        want.update(dict(zip(k.tolist(), c.tolist())))
+    k, n = lm._summed(parts)
+    assert dict(zip(k.tolist(), n.tolist())) == want and (np.diff(k.astype(np.int64)) > 0).all() and len(lm._summed([])[0]) == 0
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(1)
     for kind in (np.uint64, np.uint32):
