@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK = 256
+CELLS = 1 << 22  # distances between candidates held at once
 LEAST_ROWS = 1024  # of a shard, before there is one for each task slot
 
 
@@ -84,12 +85,25 @@ def prune(v: np.ndarray, p: np.ndarray, cand: np.ndarray, alpha: float, degree:
     cand = np.sort(cand, axis=1)
     cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = n
     cand[cand == p[:, None]] = n
-    x = v[np.minimum(cand, n - 1)]
-    d = ((x - v[p][:, None, :]) ** 2).sum(axis=2)
+    cand = np.sort(cand, axis=1)[:, : max(1, int((cand < n).sum(axis=1).max()))]
+    out = np.full((len(p), degree), -1, dtype=np.int64)
+    each = max(1, CELLS // cand.shape[1] ** 2)
+    for at in range(0, len(p), each):
+        out[at : at + each] = _pruned(v, p[at : at + each], cand[at : at + each], alpha * alpha, degree)  # distances are squared
+    return out
+
+
+def _pruned(v: np.ndarray, p: np.ndarray, cand: np.ndarray, relaxed: float, degree: int) -> np.ndarray:
+    n = len(v)
+    x = v[np.minimum(cand, n - 1)] - v[p][:, None, :]  # about the vertex, so that products lose no precision
+    d = np.einsum("ijk,ijk->ij", x, x)
+    between = x @ x.transpose(0, 2, 1)
+    between *= -2
+    between += d[:, :, None]
+    between += d[:, None, :]
     d[cand == n] = np.inf
     out = np.full((len(p), degree), -1, dtype=np.int64)
     rows = np.arange(len(p))
-    relaxed = alpha * alpha  # distances are squared
     left = d.copy()
     for k in range(degree):
         j = left.argmin(axis=1)
@@ -97,8 +111,7 @@ def prune(v: np.ndarray, p: np.ndarray, cand: np.ndarray, alpha: float, degree:
         if not ok.any():
             break
         out[ok, k] = cand[rows, j][ok]
-        between = ((x - x[rows, j][:, None, :]) ** 2).sum(axis=2)
-        left[(relaxed * between <= d) & ok[:, None]] = np.inf
+        left[(relaxed * between[rows, j] <= d) & ok[:, None]] = np.inf
         left[rows, j] = np.inf
     return out
 
