@@ -81,6 +81,9 @@ PRIVATE_KEY = re.compile(
     rf"(?:{GAP}[A-Za-z0-9+/=]{{40,}}+)*+(?:{GAP}[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n\\\"'`<]|$)))?+)"
 )
 
+#: Digits in a row, or in the groups in which cards show them, with one kind of separator.
+CARD = re.compile(r"(?<![\d.])(?:(?:4\d{3}|5[1-5]\d\d|6(?:011|5\d\d))([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d\d([ -]?)\d{6}\2\d{5})(?![\d.]*\d)")
+
 RULES = (
     Rule("private_key", ("-----begin",), PRIVATE_KEY, lambda v: True),
     Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), has_crc),
@@ -99,7 +102,7 @@ RULES = (
         ),
         lambda v: entropy(v) >= 3.0,
     ),
-    Rule("payment_card", ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65"), re.compile(r"(?<![\d.])(?:4\d{15}|5[1-5]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})(?![\d.]*\d)"), luhn),
+    Rule("payment_card", ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65"), CARD, luhn),
 )
 _automaton = None
 
