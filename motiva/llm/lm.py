@@ -353,7 +353,7 @@ def lm_scores(docs: DataFrame, order: int = 3, base: float = 1.5, weights: tuple
     segments = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs.select("text")) // SEGMENT_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_col().alias("w"))
     counts = source.select("w").mapInArrow(_count(order, segments), "segment int, n int, keys binary, counts binary")
-    parts = cut(counts.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(_merge(base), "segment int, filter binary, seen long, total long"))
+    parts = cut(counts.repartitionById(segments, "segment").mapInArrow(_merge(base), "segment int, filter binary, seen long, total long"))
     size, seen, total = parts.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     if size <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(Filter(_read_parts(parts), segments, size))
