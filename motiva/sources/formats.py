@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,11 +185,19 @@ def parse_vfmcs(data: bytes, path: str = "<bytes>", kind: str = "vfmcs") -> Loca
 
 def load(path: str, format: str = "auto") -> LocalGraph:
     """A graph file on the driver. ``format``: auto, csv, csvname:FILE, lad, directedlad, labelledlad, vertexlabelledlad, dimacs, vfmcs, vfmcsv or vfmcsvd."""
+    return parse(_local(path), path, format, _local)
+
+
+def _local(path: str) -> bytes:
     try:
         with open(path, "rb") as f:
-            data = f.read()
+            return f.read()
     except OSError as e:
         raise GraphFileError(path, "it can't be opened", existed=False) from e
+
+
+def parse(data: bytes, path: str, format: str, read: Callable[[str], bytes]) -> LocalGraph:
+    """The graph of a file's content; ``read`` gives that of another file."""
     if format in VFMCS:
         return parse_vfmcs(data, path, format)
     text = data.decode("utf-8", "replace")
@@ -202,14 +210,23 @@ def load(path: str, format: str = "auto") -> LocalGraph:
     if format == "csv":
         return parse_csv(text, path)
     if format.startswith("csvname:"):
-        with open(format[8:], encoding="utf-8") as f:
-            pairs = [line.rstrip("\n").partition(",") for line in f]
+        pairs = [line.partition(",") for line in read(format[8:]).decode("utf-8").split("\n") if line]
         return parse_csv(text, path, {a: b for a, _, b in pairs})
     raise GraphFileError(path, f"format {format!r} is unknown")
 
 
 def read_graph(spark: SparkSession, path: str, format: str = "auto") -> Graph:
-    """A graph file as DataFrames: CSV and DIMACS as distributed edge lists, other formats by way of the driver."""
+    """A graph file, in any store that Spark reads, as DataFrames: CSV and DIMACS as distributed edge lists, other formats by way of the driver."""
+
+    def content(file: str) -> bytes:
+        try:
+            row = spark.read.format("binaryFile").load(file).select("content").first()
+        except Exception as e:
+            raise GraphFileError(file, "it can't be opened", existed=False) from e
+        if row is None:
+            raise GraphFileError(file, "it can't be opened", existed=False)
+        return bytes(row["content"])
+
     if format == "auto":
         try:
             format = detect_format((r[0] for r in spark.read.text(path).limit(1000).toLocalIterator()), path)
@@ -221,7 +238,7 @@ def read_graph(spark: SparkSession, path: str, format: str = "auto") -> Graph:
         return read_csv(spark, path)
     if format == "dimacs":
         return read_dimacs(spark, path)
-    return Graph.from_local(spark, load(path, format))
+    return Graph.from_local(spark, parse(content(path), path, format, content))
 
 
 def _bad(df: DataFrame, condition: str, path: str, message: str) -> None:

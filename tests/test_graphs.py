@@ -96,9 +96,14 @@ def test_files_local_and_distributed(spark, tmp_path):
         a, b = formats.load(path, kind), formats.read_graph(spark, path, kind).to_local()
         assert (a.names, a.labels, a.arcs, a.directed, a.has_vertex_labels, a.has_edge_labels) == (b.names, b.labels, b.arcs, b.directed, b.has_vertex_labels, b.has_edge_labels)
     assert formats.load(str(tmp_path / "g.csv"), f"csvname:{tmp_path / 'n.csv'}").names == ["one", "two", "three", "four"]
+    named = formats.read_graph(spark, f"file://{tmp_path}/g.csv", f"csvname:file://{tmp_path}/n.csv")
+    assert [r["name"] for r in named.vertices.orderBy("id").collect()] == ["one", "two", "three", "four"]
     with pytest.raises(GraphFileError) as e:
         formats.load(str(tmp_path / "missing"))
     assert not e.value.existed
+    with pytest.raises(GraphFileError) as e:
+        formats.read_graph(spark, str(tmp_path / "missing"), "lad")
+    assert not e.value.existed
     with pytest.raises(GraphFileError):
         formats.load(str(tmp_path / "g.lad"), "odd")
     for text, reader in (("ab\n", formats.read_csv), ("a,b c\n", formats.read_csv), ("p edge 2 1\ne 1 9\n", formats.read_dimacs), ("e 1 2\n", formats.read_dimacs)):
