@@ -3,7 +3,7 @@
 Vectors are dealt to shards by hash of their id. Each shard's graph starts random and is built in two rounds: a greedy search
 for every vector proposes the vertices it visits as neighbours, and relaxed pruning keeps of these, nearest first, those that
 no kept one is nearer to by the factor ``alpha``; edges are put in both ways and pruned again where a vertex has too many.
-Every vector is a query: a beam search goes through each shard's graph, and the nearest of all shards are the answer.
+Every vector is a query, or each whose id ``every`` divides: a beam search goes through each shard's graph, and the nearest of all shards are the answer.
 
 There are as many shards as the cluster has task slots, so that each is built by a task of its own, and more only where a
 shard would have over ``shard_rows`` vectors: searches cost about as much in a large graph as in a small one, and their number
@@ -211,9 +211,9 @@ def _search(dim: int, degree: int, beam: int, k: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", shard_rows: int = 1 << 17, shards: int | None = None, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", column: str = "embedding", shard_rows: int = 1 << 17, shards: int | None = None, degree: int = 32, beam: int = 64, alpha: float = 1.2, every: int = 1) -> DataFrame:
     """(vec_id, rank, neighbor_id, distance): for every vector the ``k`` nearest others by Euclidean distance, as far as the searches
-    find them. ``shards``: how many, if not by ``shard_rows``."""
+    find them. ``shards``: how many, if not by ``shard_rows``. ``every``: only vectors whose id it divides are queries; all are searched."""
     v = F.transform(F.col(column), lambda x: x.cast("float"))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity'))")
     top = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
@@ -228,7 +228,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id
     dealt = one.withColumn("shard", F.expr(f"cast(pmod(xxhash64(id), {shards}) as int)")).repartitionById(shards, "shard")
     graphs = cut(dealt.mapInArrow(_graphs(degree, beam, alpha), PARTS))
     null = F.lit(None).cast("binary")
-    queries = one.mapInArrow(_blocks(1024), "a binary, b binary").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("start"), "a", "b", null.alias("c"), null.alias("d"))
+    queries = one.where(F.col("id") % every == 0).mapInArrow(_blocks(1024), "a binary, b binary").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("start"), "a", "b", null.alias("c"), null.alias("d"))
     found = graphs.unionByName(queries).repartitionById(shards, "shard").sortWithinPartitions("kind").mapInArrow(_search(dim, degree, beam, k), "id long, near array<struct<d:double,i:long>>")
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("p", "n")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("n.i").alias("neighbor_id"), F.sqrt("n.d").alias("distance"))
