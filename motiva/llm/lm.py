@@ -9,9 +9,10 @@ less. Probabilities interpolate the orders with fixed
 weights, with half an occurrence for words never seen.
 
 The filter is in segments by hash of the n-gram, as many as the size of the input asks for, each built by one task from the
-sorted counts that all tasks send it, and written as a table. Up to ``broadcast_bytes`` it is broadcast and probed in one
-pass. Beyond that, the distinct n-grams of each slice of documents go to the segments by shuffle and their levels come back:
-the same answers for any size.
+sorted counts that all tasks send it, and written as a table. A segment has a range of the hashes, so that sorted n-grams lie
+as close in it, and take as few bytes, however many segments there are. Up to ``broadcast_bytes`` the filter is broadcast and
+probed in one pass. Beyond that, the texts are written once in slices, compressed; the distinct n-grams of each slice go to the
+segments by shuffle, sorted, and only their levels come back, in that order, to meet the slice: the same answers for any size.
 
 Defined cases: words are runs of letters and digits in lower case; a text without words, or null, has n_words 0,
 log_prob 0.0 and a null perplexity, and null doc_ids are scored too; repeated rows count, and are scored, each; texts are
@@ -32,12 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, input_bytes, mix, slices, words_col
+from .common import cut, discard, hash_words, input_bytes, mix, slices, words_col
+from .substrings import free
 
 BITS = 20  # of the filter for each entry
 PROBES = 4  # bits set for an entry, all in one word of 64
 MOST_LEVELS = 120
 SEGMENT_BYTES = 64 << 20  # of input for each segment
+KEY_BITS = 48  # of an n-gram's hash: at 30 GB one n-gram in some 30,000 has another one's, far fewer than the filter takes for one
+HELD_BYTES = 4 << 20  # of text in a slice that is written
 
 
 def keys(h: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
@@ -49,12 +53,23 @@ def keys(h: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
         g = h.copy()
         for k in range(1, n):
             g[k:] = g[k:] + np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) * h[:-k] if len(h) > k else g[k:]
-        g = mix(g + np.uint64(n)) >> np.uint64(8)  # 56 bits: sorted, their differences are a byte shorter
+        g = mix(g + np.uint64(n)) >> np.uint64(64 - KEY_BITS)  # sorted, their differences are two bytes shorter
         g[g == 0] = 1
         out.append(np.where(place >= n - 1, g, np.uint64(0)))
     return out
 
 
+def segment_of(k: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each n-gram; it never falls as they rise."""
+    return np.minimum((k >> np.uint64(KEY_BITS - 32)) * np.uint64(segments) >> np.uint64(32), np.uint64(segments - 1)).astype(np.int64)
+
+
+def _parts(k: np.ndarray, segments: int) -> tuple[list[int], np.ndarray]:
+    """(segments that sorted n-grams have, where each segment's begin, with the total at the end)."""
+    bound = np.searchsorted(segment_of(k, segments), np.arange(segments + 1))
+    return np.flatnonzero(np.diff(bound)).tolist(), bound
+
+
 def _sorted_counts(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = np.sort(k)
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -103,11 +118,7 @@ def _count(order: int, segments: int, flush: int = 3_000_000):
                 k = np.concatenate(held[n]) if held[n] else np.zeros(0, np.uint64)
                 held[n] = []
                 k, c = _sorted_counts(k)
-                seg = (k % np.uint64(segments)).astype(np.int64)
-                by = np.argsort(seg, kind="stable")
-                k, c, seg = k[by], c[by], seg[by]
-                bound = np.searchsorted(seg, np.arange(segments + 1))
-                rows = [s for s in range(segments) if bound[s + 1] > bound[s]]
+                rows, bound = _parts(k, segments)
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(rows, pa.int32()), pa.array([n + 1] * len(rows), pa.int32()), pa.array([packed(k[bound[s] : bound[s + 1]]) for s in rows], pa.binary()), pa.array([packed(np.minimum(c[bound[s] : bound[s + 1]], 2**32 - 1).astype(np.uint32)) for s in rows], pa.binary())],
@@ -194,7 +205,7 @@ class Filter:
     def levels(self, k: np.ndarray) -> np.ndarray:
         """The level of each n-gram: how many memberships in a row hold."""
         q = np.zeros(len(k), dtype=np.uint8)
-        segment = (k % np.uint64(len(self.words))).astype(np.int64)
+        segment = segment_of(k, len(self.words))
         live = np.flatnonzero(self.words[segment] > 0)
         words, first, k = self.words[segment], self.first[segment], k
         for level in range(1, MOST_LEVELS + 1):
@@ -231,8 +242,9 @@ def log_probs(q: list[np.ndarray], there: list[np.ndarray], base: float, seen: i
 
 def _results(ids: pa.Array, logs: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
     n = np.diff(first)
-    total = np.append(0.0, np.cumsum(logs))
-    lp = np.where(n > 0, total[first[1:]] - total[first[:-1]], 0.0)
+    lp = np.zeros(len(n))
+    if len(logs):
+        lp[n > 0] = np.add.reduceat(logs, first[:-1][n > 0])  # each by itself: the same whatever else is in the slice
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         ppl = np.exp(-lp / n)
     return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(lp), pa.array(ppl, mask=n == 0)], names=["doc_id", "n_words", "log_prob", "perplexity"])
@@ -273,25 +285,36 @@ def _asked(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=["slice", "segment", "kind", "a", "b", "c"])
 
 
+def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slice of documents a row of kind 0 with its ids, bounds and compressed text."""
+    at = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        ids = batch.column(0)
+        for i, j, raw, offsets in slices(batch, "w", HELD_BYTES):
+            null = np.array(ids.slice(i, j - i).is_null().to_pylist(), dtype=np.uint8)
+            own = np.stack([ids.slice(i, j - i).fill_null(0).to_numpy(zero_copy_only=False), null])
+            yield _asked([(at, -1, 0, own.astype(np.int64).tobytes(), offsets.astype(np.int64).tobytes(), pa.compress(raw.tobytes(), codec="zstd", asbytes=True))])
+            at += 1
+
+
+def _words(b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """As ``hash_words`` gives them, of a slice with bounds ``b`` and text ``c``."""
+    offsets = np.frombuffer(b, np.int64)
+    raw = pa.decompress(c, decompressed_size=int(offsets[-1]), codec="zstd", asbytes=True)
+    return hash_words(np.frombuffer(raw, np.uint8), offsets)
+
+
 def _ask(order: int, segments: int):
-    """For each slice of documents a row of kind 0 with its ids, bounds and places of n-grams among the distinct ones, and for each segment one of kind 1 with distinct n-grams and their places."""
+    """For each slice and segment a row of kind 1 with the distinct n-grams, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, raw, offsets in slices(batch, "w"):
-                h, first = hash_words(raw, offsets)
-                u, back = _distinct(np.concatenate(keys(h, first, order)))
-                null = np.array(ids.slice(i, j - i).is_null().to_pylist(), dtype=np.uint8)
-                own = np.stack([ids.slice(i, j - i).fill_null(0).to_numpy(zero_copy_only=False), null])
-                rows = [(at, -1, 0, own.astype(np.int64).tobytes(), first.astype(np.int64).tobytes(), back.astype(np.int32).tobytes())]
-                seg = (u % np.uint64(segments)).astype(np.int64)
-                by = np.argsort(seg, kind="stable")
-                bound = np.searchsorted(seg[by], np.arange(segments + 1))
-                rows += [(at, s, 1, u[p].tobytes(), p.astype(np.int32).tobytes(), b"") for s in range(segments) if len(p := by[bound[s] : bound[s + 1]])]
-                at += 1
-                yield _asked(rows)
+            for k in range(batch.num_rows):
+                at, b, c = (batch.column(n)[k].as_py() for n in range(3))
+                u, _ = _distinct(np.concatenate(keys(*_words(b, c), order)))
+                rows, bound = _parts(u, segments)
+                if rows:
+                    yield _asked([(at, s, 1, packed(u[bound[s] : bound[s + 1]]), None, None) for s in rows])
 
     return run
 
@@ -301,13 +324,13 @@ def _answer(segments: int):
         now, part = -1, None
         for batch in batches:
             rows = []
-            for at, s, kind, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for at, s, kind, a in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if kind == 0:
                     now, part = s, Filter([(s, a)], segments, len(a))
                 else:
-                    k = np.frombuffer(a, np.uint64)
+                    k = unpacked(a, np.uint64)
                     q = part.levels(k) if now == s else np.zeros(len(k), np.uint8)
-                    rows.append((at, s, 1, q.tobytes(), b, b""))
+                    rows.append((at, s, 1, q.tobytes(), None, None))
             if rows:
                 yield _asked(rows)
 
@@ -316,28 +339,27 @@ def _answer(segments: int):
 
 def _finish(order: int, base: float, seen: int, total: int, weights: tuple[float, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
+        own, levels = None, []
 
         def out() -> pa.RecordBatch:
-            ids, first, back, q = own
-            n = int(first[-1])
-            parts = [q[back[k * n : (k + 1) * n]] for k in range(order)]
-            place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-            there = [place >= k for k in range(order)]
-            for x, y in zip(parts, there):
-                x[~y] = 0
-            return _results(ids, log_probs(parts, there, base, seen, total, weights), first)
+            a, b, c = own
+            ids, null = np.frombuffer(a, np.int64).reshape(2, -1)
+            h, first = _words(b, c)
+            k = keys(h, first, order)
+            _, back = _distinct(np.concatenate(k))
+            q = np.frombuffer(b"".join(levels), np.uint8)[back].reshape(order, -1)
+            there = [x != 0 for x in k]
+            return _results(pa.array(ids, mask=null.astype(bool)), log_probs([np.where(y, x, np.uint8(0)) for x, y in zip(q, there)], there, base, seen, total, weights), first)
 
         for batch in batches:
-            for kind, a, b, c in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            for k in range(batch.num_rows):
+                kind, a, b, c = (batch.column(n)[k].as_py() for n in range(2, 6))
                 if kind == 0:
                     if own is not None:
                         yield out()
-                    ids, null = np.frombuffer(a, np.int64).reshape(2, -1)
-                    back = np.frombuffer(c, np.int32)
-                    own = (pa.array(ids, mask=null.astype(bool)), np.frombuffer(b, np.int64), back, np.zeros(int(back.max(initial=-1)) + 1, np.uint8))
+                    own, levels = (a, b, c), []
                 else:
-                    own[3][np.frombuffer(b, np.int32)] = np.frombuffer(a, np.uint8)
+                    levels.append(a)
         if own is not None:
             yield out()
 
@@ -352,17 +374,21 @@ def lm_scores(docs: DataFrame, order: int = 3, base: float = 1.5, weights: tuple
     spark = docs.sparkSession
     segments = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs.select("text")) // SEGMENT_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_col().alias("w"))
-    counts = source.select("w").mapInArrow(_count(order, segments), "segment int, n int, keys binary, counts binary")
-    parts = cut(counts.repartitionById(segments, "segment").mapInArrow(_merge(base), "segment int, filter binary, seen long, total long"))
+    counts = lambda: source.select("w").mapInArrow(_count(order, segments), "segment int, n int, keys binary, counts binary")
+    parts = cut(counts().repartitionById(segments, "segment").mapInArrow(_merge(base), "segment int, filter binary, seen long, total long"))
     size, seen, total = parts.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     if size <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(Filter(_read_parts(parts), segments, size))
         return source.mapInArrow(_score(shared, order, base, seen, total, weights), SCORES)
-    asked = cut(source.mapInArrow(_ask(order, segments), ASKED))
+    free(docs)
+    held = cut(source.mapInArrow(_hold, ASKED))
     none = F.lit(None).cast("binary")
     filters = parts.select(F.lit(0).cast("long").alias("slice"), "segment", F.lit(0).alias("kind"), F.col("filter").alias("a"), none.alias("b"), none.alias("c"))
-    answers = asked.where("kind = 1").unionByName(filters).repartition("segment").sortWithinPartitions("segment", "kind").mapInArrow(_answer(segments), ASKED)
-    return asked.where("kind = 0").unionByName(answers).repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(_finish(order, base, seen, total, weights), SCORES)
+    asked = lambda: held.select("slice", "b", "c").mapInArrow(_ask(order, segments), ASKED).unionByName(filters)
+    answers = cut(asked().repartition("segment").sortWithinPartitions("segment", "kind").mapInArrow(_answer(segments), ASKED))
+    discard(parts)
+    free(docs)
+    return held.unionByName(answers).repartition("slice").sortWithinPartitions("slice", "kind", "segment").mapInArrow(_finish(order, base, seen, total, weights), SCORES)
 
 
 def _read_parts(parts: DataFrame) -> Iterator[tuple[int, bytes]]:
